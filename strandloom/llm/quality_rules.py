@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The words' separators and the symbols, as fixed by the contract.
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+#: The words' separators, their complement and the complement of the symbols, as fixed by the contract.
 _SPACE_CLASS = r"[\x20\x09-\x0D]+"
+_WORD_CLASS = r"[^\x20\x09-\x0D]"
+_OTHER_THAN_SYMBOLS = r"[^#*$%&|<>]+"
 
 
 @dataclass(frozen=True)
@@ -37,26 +37,26 @@ class QualityParams:
     max_dup_line_fraction: float = 0.4
     min_mean_word: float = 1.5
     max_mean_word: float = 25.0
-    min_letter_fraction: float = 0.6
+    max_digit_fraction: float = 0.4
     max_upper_fraction: float = 0.6
-    #: Words of the longest run without a letter, as a share of all words.
-    max_bare_word_fraction: float = 0.3
+    #: Words equal to the one before them.
+    max_stutter_fraction: float = 0.3
     #: Rows on which cost and selectivity are estimated, and the least times a rule is timed.
     sample_rows: int = 1000
 
 
-def _removed(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def _let(value: Column, body) -> Column:
     """body(value) with value computed once a row."""
     return F.transform(F.array(value), body)[0]
 
 
 def repeat_words(words: Column, window: int) -> Column:
-    """Words inside windows that are found twice or more in the text. Windows are sorted by hash; equal neighbours are
-    repeats; their places, sorted again, give the words covered. n log n in the text's words."""
+    """Words inside windows that are found twice or more in the text.
+
+    window is a power of two. A window's hash is put together from hashes of halves. Texts without equal windows, by far the most, end
+    there. Else windows are sorted by hash; equal neighbours are repeats; their places, sorted, give the words covered.
+    Time is n log n in the text's words.
+    """
 
     def marked(s: Column) -> Column:
         same = lambda x, i: (F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False))) | (F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
@@ -70,32 +70,38 @@ def repeat_words(words: Column, window: int) -> Column:
             lambda acc: acc["n"],
         )
 
-    def hashed(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, window)).alias("h"), i.alias("p")))
+    def of_hashes(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(placed, lambda s: covered(marked(s))))
+
+    def doubled(h: Column, size: int, then) -> Column:
+        """Hashes of `window` words from those of `size` words: each round joins the hash at i with that at i + size."""
+        if size == window:
+            return then(F.slice(h, F.lit(1), F.size(h) - window + 1))
+        pairs = F.zip_with(h, F.slice(h, F.lit(size + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
+        return _let(pairs, lambda more: doubled(more, 2 * size, then))
 
-    def of(w: Column) -> Column:
-        return F.when(F.size(w) <= window, F.lit(0)).otherwise(_let(F.sort_array(hashed(w)), lambda s: covered(marked(s))))
+    def of_words(h: Column) -> Column:
+        return F.when(F.size(h) <= window, F.lit(0)).otherwise(doubled(h, 1, of_hashes))
 
-    return _let(words, of)
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), of_words)
 
 
 def statistics(docs: DataFrame, text_col: str = "text", params: QualityParams = QualityParams()) -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the cascade's own counts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = F.translate(text, SPACES, "")
-    split = F.filter(F.split(text, _SPACE_CLASS, -1), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
-    out = docs.withColumn("_words", split).withColumn("_bare", bare).withColumn("_lines", lines)
+    out = docs.withColumn("_words", F.filter(F.split(text, _SPACE_CLASS, -1), lambda w: w != ""))
+    out = out.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(_WORD_CLASS)))
     return out.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length("_bare").cast("long"),
-            "n_symbols": _removed(text, SYMBOLS).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": F.length(F.regexp_replace(text, _OTHER_THAN_SYMBOLS, "")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": repeat_words(F.col("_words"), params.window).cast("long"),
             "_n_lines": F.size("_lines"),
         }
-    ).drop("_words", "_lines")
+    ).drop("_lines")
 
 
 def base_rules(params: QualityParams = QualityParams()) -> list[Rule]:
@@ -105,18 +111,21 @@ def base_rules(params: QualityParams = QualityParams()) -> list[Rule]:
     ]
 
 
-def method_rules(params: QualityParams = QualityParams()) -> list[Rule]:
-    """Rules over the counts are cheap; the last two read the text's characters again."""
+def method_rules(params: QualityParams = QualityParams(), text_col: str = "text") -> list[Rule]:
+    """Rules over the counts are cheap; the last three read the text's characters or words again."""
     mean = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
-    letters = F.length(F.regexp_replace("_bare", r"[^\p{L}]+", ""))
-    upper = F.length(F.regexp_replace("_bare", r"[^\p{Lu}]+", ""))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    digits = F.length(F.regexp_replace(text, r"[^0-9]+", ""))
+    upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
+    stutter = F.size(F.filter(F.arrays_zip(F.col("_words").alias("a"), F.slice("_words", F.lit(2), F.greatest(F.size("_words") - 1, F.lit(0))).alias("b")), lambda x: x["a"] == x["b"]))
     return [
         Rule("symbols", F.col("n_symbols") > F.col("n_words") * params.max_symbols_per_word),
         Rule("dup_lines", F.col("n_dup_lines") > F.col("_n_lines") * params.max_dup_line_fraction),
         Rule("short_words", mean < params.min_mean_word),
         Rule("long_words", mean > params.max_mean_word),
-        Rule("few_letters", letters < F.length("_bare") * params.min_letter_fraction),
-        Rule("shouting", upper > F.length("_bare") * params.max_upper_fraction),
+        Rule("digits", digits > F.col("word_chars") * params.max_digit_fraction),
+        Rule("shouting", upper > F.col("word_chars") * params.max_upper_fraction),
+        Rule("stutter", stutter > F.col("n_words") * params.max_stutter_fraction),
     ]
 
 
@@ -124,16 +133,17 @@ def _rejects(rule: Rule) -> Column:
     return F.coalesce(rule.rejects, F.lit(False))
 
 
-def plan_cascade(stats: DataFrame, rules: list[Rule], params: QualityParams = QualityParams()) -> list[Rule]:
-    """Rules by rejections per cost, most first, as measured on a sample of about params.sample_rows rows.
+def plan_cascade(docs: DataFrame, rules: list[Rule], params: QualityParams = QualityParams(), text_col: str = "text") -> list[Rule]:
+    """Rules by rejections per cost, most first, as measured on a sample of about params.sample_rows rows of `docs`.
 
-    Cost: seconds of one pass over the cached sample that evaluates the rule, less those of an empty pass. The sample
-    decides the order only; with an empty sample the order is as given.
+    Cost: seconds of one pass over the cached sample's statistics that evaluates the rule, less those of an empty pass.
+    The sample decides the order only; with an empty sample the order is as given.
     """
-    rows = stats.count()
+    rows = docs.count()
     if not rows or len(rules) < 2:
         return list(rules)
-    columns = stats.sample(min(1.0, params.sample_rows / rows), 11).limit(2 * params.sample_rows).repartition(2).cache()
+    sampled = docs.select(text_col).sample(min(1.0, params.sample_rows / rows), 11).limit(2 * params.sample_rows).repartition(2)
+    columns = statistics(sampled, text_col, params).cache()
     try:
         seen = columns.agg(F.count("*").alias("n"), *[F.sum(_rejects(r).cast("long")).alias(f"r{k}") for k, r in enumerate(rules)]).first()
         if not seen["n"]:
@@ -164,17 +174,18 @@ def judge_quality(docs: DataFrame, *, text_col: str = "text", params: QualityPar
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by and kept.
 
     A null text counts as empty and fails few_words; an empty table gives no rows; repeated rows are judged alike.
-    Columns of `docs` with one of the names above are replaced, as are those named _bare and _n_lines; all others stay.
+    Columns of `docs` with one of the names above are replaced, as are those named _words, _lines and _n_lines; all others stay.
     rejected_by names the first rule of the cascade that rejects (null if kept); it may depend on the measured order
     where several rules reject, kept does not.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", "_words", "_bare", "_lines", "_n_lines"]
-    stats = statistics(docs.drop(*[c for c in own if c in docs.columns and c != text_col]), text_col, params)
-    base, more = base_rules(params), method_rules(params)
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", "_words", "_lines", "_n_lines"]
+    rows = docs.drop(*[c for c in own if c in docs.columns and c != text_col])
+    base, more = base_rules(params), method_rules(params, text_col)
     failed = _rejects(base[0]) | _rejects(base[1])
-    order = plan_cascade(stats, [*base, *more], params)
+    order = plan_cascade(rows, [*base, *more], params, text_col)
     return (
-        stats.withColumns({"base_failed": failed, "rejected_by": cascade(order)})
+        statistics(rows, text_col, params)
+        .withColumns({"base_failed": failed, "rejected_by": cascade(order)})
         .withColumn("kept", F.col("rejected_by").isNull())
-        .drop("_bare", "_n_lines")
+        .drop("_words", "_n_lines")
     )

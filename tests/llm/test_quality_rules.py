@@ -41,7 +41,7 @@ def test_order_is_by_rejections_per_cost_and_verdict_does_not_depend_on_it(spark
     docs = documents(spark)
     stats = Q.statistics(docs)
     rules = [*Q.base_rules(), *Q.method_rules()]
-    order = Q.plan_cascade(stats, rules)
+    order = Q.plan_cascade(docs, rules)
     assert sorted(r.name for r in order) == sorted(r.name for r in rules)
     verdict = lambda rs: {r[0]: r[1] for r in stats.select("doc_id", Q.cascade(rs).isNull()).collect()}
     assert verdict(order) == verdict(rules) == verdict(rules[::-1])
