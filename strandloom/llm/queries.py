@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontaminate, packing, quality_rules, sharding, simhash, suffix_dedup, url_filter
+from strandloom.llm import decontaminate, packing, passages, quality_rules, sharding, simhash, suffix_dedup, url_filter
 
 #: Fixed by the query's contract: (host, path, verdict).
 URL_RULES = [
@@ -29,6 +29,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = passages.remove_passages(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.size("spans").cast("long").alias("n_spans"), "sources", "kept_sha256")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -70,6 +75,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_packing": op3_packing,
         "op4_decontaminate": op4_decontaminate,
         "op5_simhash": op5_simhash,
