@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontaminate, packing, passages, quality_rules, sharding, simhash, suffix_dedup, url_filter
+from strandloom.llm import decontaminate, language_id, packing, passages, quality_rules, sharding, simhash, suffix_dedup, url_filter
 
 #: Fixed by the query's contract: (host, path, verdict).
 URL_RULES = [
@@ -67,6 +67,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def _remainder(parts: int) -> Column:
+    """crc32 of the id as text, modulo parts."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"), learn=_remainder(5) != 0)
+    return found.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -81,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_sharding": op6_sharding,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_language_id": op8_language_id,
         "op9_quality_rules": op9_quality_rules,
     }
 
