@@ -87,6 +87,11 @@ def repeat_words(words: Column, window: int) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), of_words)
 
 
+def stutter(words: Column) -> Column:
+    """Words equal to the one before them."""
+    return F.size(F.filter(F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b")), lambda x: x["a"] == x["b"]))
+
+
 def statistics(docs: DataFrame, text_col: str = "text", params: QualityParams = QualityParams()) -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the cascade's own counts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -117,7 +122,6 @@ def method_rules(params: QualityParams = QualityParams(), text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     digits = F.length(F.regexp_replace(text, r"[^0-9]+", ""))
     upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
-    stutter = F.size(F.filter(F.arrays_zip(F.col("_words").alias("a"), F.slice("_words", F.lit(2), F.greatest(F.size("_words") - 1, F.lit(0))).alias("b")), lambda x: x["a"] == x["b"]))
     return [
         Rule("symbols", F.col("n_symbols") > F.col("n_words") * params.max_symbols_per_word),
         Rule("dup_lines", F.col("n_dup_lines") > F.col("_n_lines") * params.max_dup_line_fraction),
@@ -125,7 +129,7 @@ def method_rules(params: QualityParams = QualityParams(), text_col: str = "text"
         Rule("long_words", mean > params.max_mean_word),
         Rule("digits", digits > F.col("word_chars") * params.max_digit_fraction),
         Rule("shouting", upper > F.col("word_chars") * params.max_upper_fraction),
-        Rule("stutter", stutter > F.col("n_words") * params.max_stutter_fraction),
+        Rule("stutter", stutter(F.col("_words")) > F.col("n_words") * params.max_stutter_fraction),
     ]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontaminate, language_id, packing, passages, quality_rules, sharding, simhash, suffix_dedup, url_filter
+from strandloom.llm import decontaminate, language_id, packing, passages, quality_model, quality_rules, sharding, simhash, suffix_dedup, url_filter
 
 #: Fixed by the query's contract: (host, path, verdict).
 URL_RULES = [
@@ -82,6 +82,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=_remainder(4) != 2)
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_language_id": op8_language_id,
         "op9_quality_rules": op9_quality_rules,
+        "op10_quality_model": op10_quality_model,
     }
 
 
