@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, language_id, packing, passages, quality_model, quality_rules, sharding, simhash, suffix_dedup, url_filter
+from strandloom.llm.oracles import ORACLES
 
 #: Fixed by the query's contract: (host, path, verdict).
 URL_RULES = [
@@ -103,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
