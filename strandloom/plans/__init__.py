@@ -24,11 +24,11 @@ class Run:
 
     def metrics(self) -> DataFrame:
         """(name, value) counts of each step."""
-        spacers = self.arrays.select(F.lit("spacers").alias("name"), F.coalesce(F.sum("n_spacers"), F.lit(0)).cast("long").alias("value"))
-        frames = (("edges", self.edges), ("starts", self.starts), ("cycles", self.cycles), ("arrays", self.arrays), ("truncated", self.truncated))
-        for name, frame in frames:
-            spacers = spacers.unionByName(frame.select(F.lit(name).alias("name")).groupBy("name").agg(F.count("*").alias("value")))
-        return spacers
+        count = lambda name, frame, value: frame.agg(value.cast("long").alias("value")).select(F.lit(name).alias("name"), "value")
+        out = count("spacers", self.arrays, F.coalesce(F.sum("n_spacers"), F.lit(0)))
+        for name, frame in (("edges", self.edges), ("starts", self.starts), ("cycles", self.cycles), ("arrays", self.arrays), ("truncated", self.truncated)):
+            out = out.unionByName(count(name, frame, F.count("*")))
+        return out
 
 
 def search_graph(reads: DataFrame, params: Params, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -260,7 +260,7 @@ SELECT start AS edge, min(steps)::BIGINT AS closed_walk FROM reach WHERE dst = h
     "split_spacers": f"WITH {_TRUTH} SELECT substr(r, 1, 31) AS repeat, substr(r, 32, 1) || s AS part FROM tm",
     "arrays": f"WITH {_TRUTH} SELECT substr(r, 1, 31) AS repeat, string_agg(r || s, '' ORDER BY s) AS array_seq, string_agg(substr(r, 32, 1) || s, ',' ORDER BY s) AS spacers, count(*) AS n_spacers FROM tm GROUP BY r",
     "run_metrics": f"""WITH {_TRUTH}, {_STARTS} SELECT 'edges' AS name, count(*) AS value FROM e UNION ALL SELECT 'starts', count(*) FROM st UNION ALL SELECT 'cycles', count(*) FROM tm
-UNION ALL SELECT 'arrays', count(DISTINCT r) FROM tm UNION ALL SELECT 'spacers', count(*) FROM tm""",
+UNION ALL SELECT 'arrays', count(DISTINCT r) FROM tm UNION ALL SELECT 'spacers', count(*) FROM tm UNION ALL SELECT 'truncated', 0""",
     "cycle_dump": f"""WITH {_TRUTH}, n AS ({_NODES}), c1 AS (SELECT start, seq, '[' || string_agg(node, ',' ORDER BY i) || ']' AS shown FROM n GROUP BY start, seq)
 SELECT start, start || ':' || string_agg(shown, ';' ORDER BY shown) AS line FROM c1 GROUP BY start""",
     "path_report": f"""WITH {_TRUTH}, n AS ({_NODES}), m AS (SELECT n.start, n.seq, n.i, n.node, e.mult FROM n JOIN e ON e.edge = n.node),
