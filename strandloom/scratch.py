@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,5 +52,15 @@ class Scratch:
         _delete(self.spark, self.paths.pop(id(table)))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to any more, such as those of a table just written.
+
+    Spark's cleaner acts when the driver's collectors find the plans; left alone that may be after the job.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
