@@ -105,6 +105,7 @@ def statistics(docs: DataFrame, text_col: str = "text", params: QualityParams =
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": repeat_words(F.col("_words"), params.window).cast("long"),
             "_n_lines": F.size("_lines"),
+            "_row": F.monotonically_increasing_id(),
         }
     ).drop("_lines")
 
@@ -178,11 +179,11 @@ def judge_quality(docs: DataFrame, *, text_col: str = "text", params: QualityPar
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by and kept.
 
     A null text counts as empty and fails few_words; an empty table gives no rows; repeated rows are judged alike.
-    Columns of `docs` with one of the names above are replaced, as are those named _words, _lines and _n_lines; all others stay.
+    Columns of `docs` with one of the names above are replaced, as are those named _words, _lines, _n_lines and _row; all others stay.
     rejected_by names the first rule of the cascade that rejects (null if kept); it may depend on the measured order
     where several rules reject, kept does not.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", "_words", "_lines", "_n_lines"]
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", "_words", "_lines", "_n_lines", "_row"]
     rows = docs.drop(*[c for c in own if c in docs.columns and c != text_col])
     base, more = base_rules(params), method_rules(params, text_col)
     failed = _rejects(base[0]) | _rejects(base[1])
@@ -190,6 +191,8 @@ def judge_quality(docs: DataFrame, *, text_col: str = "text", params: QualityPar
     return (
         statistics(rows, text_col, params)
         .withColumns({"base_failed": failed, "rejected_by": cascade(order)})
-        .withColumn("kept", F.col("rejected_by").isNull())
-        .drop("_words", "_n_lines")
+        # a filter on kept must not be pushed below the statistics, where each use of one would compute it again; no
+        # filter passes the row number, which is never negative
+        .withColumn("kept", F.col("rejected_by").isNull() & (F.col("_row") >= 0))
+        .drop("_words", "_n_lines", "_row")
     )
