@@ -232,8 +232,10 @@ def near_duplicates(
     scratch = Scratch(spark)
     rows = scratch.keep(_fingerprint_rows(docs, id_col, text_col, shingle), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("_id").alias("first"))
-    keyed = classes.select("fp").mapInArrow(_key_rows, "key long, fp long")
-    runs = keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "fp")
+    # each fingerprint becomes some ninety keys, so the small table of fingerprints is kept in as many parts as the keys need
+    parts = shuffle_partitions(spark)
+    keyed = classes.select("fp").repartition(parts, "fp").mapInArrow(_key_rows, "key long, fp long")
+    runs = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp")
     links = runs.mapInArrow(_links(radius), "a long, b long").distinct()
     found = connected_components(links, "a", "b", scratch)
     placed = classes.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
