@@ -78,3 +78,21 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def gathered(found: Iterator[tuple[np.ndarray, ...]], kind: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Blob rows of (bins, *arrays), put together over many small finds so that a task sends each bin few rows."""
+    held, n = [], 0
+
+    def rows() -> pa.RecordBatch:
+        bins, *arrays = (np.concatenate(parts) for parts in zip(*held, strict=True))
+        return blob_rows([(kind, b, pack(*x)) for b, x in dealt(bins, *arrays)])
+
+    for arrays in found:
+        held.append(arrays)
+        n += len(arrays[0])
+        if n >= most:
+            yield rows()
+            held, n = [], 0
+    if n:
+        yield rows()

@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import packed as P
 from strandloom.llm import textkernels as K
-from strandloom.scratch import Scratch, shuffle_partitions
+from strandloom.scratch import Scratch, release, shuffle_partitions
 
 LENGTH, SEED = 50, 20
 #: Ranges and document bins for each shuffle partition; documents and suffixes of each sampled for the splitters.
-RANGES, SAMPLED_DOCS, SAMPLED_SUFFIXES = 4, 8, 16
+RANGES, SAMPLED_DOCS, SAMPLED_SUFFIXES = 2, 8, 16
 _PLACE_BITS = 20
 _LONG = 1 << 19
+#: Bytes of text worked on before rows are passed on, and windows of one range sorted at a time (tokens stay whole).
+_FLUSH, _SORTED = 6 << 20, 1 << 17
 
 
 def _cut(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -90,18 +92,22 @@ def _suffixes(length: int, splits: Broadcast | None):
         for batch in batches:
             data, offsets = K.column_bytes(batch.column("_text"))
             ids = batch.column("_id").to_numpy()
-            found = []
-            for i, base, part, at in _cut(data, offsets, length):
-                text, place, _, _, token = anchors(part, at, length)
-                found.append((token, ids[i + text], place - at[text] + base))
-            if not found:
-                continue
-            token, own, place = (np.concatenate([f[k] for f in found]) for k in range(3))
-            if splits is None:
-                step = max(1, len(token) // (SAMPLED_SUFFIXES * max(1, batch.num_rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(token[::step].view(np.int64)), pa.array(own[::step])], names=["token", "id"])
-            else:
-                yield P.blob_rows([(0, b, P.pack(*x)) for b, x in P.dealt(P.range_of(token, own, splits.value), token, own, place.astype(np.int32))])
+            for i, j in K.blocks(offsets, _FLUSH):
+                yield from work(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ids[i:j])
+
+    def work(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = []
+        for i, base, part, at in _cut(data, offsets, length):
+            text, place, _, _, token = anchors(part, at, length)
+            found.append((token, ids[i + text], (place - at[text] + base).astype(np.int32)))
+        if not found:
+            return
+        token, own, place = (np.concatenate([f[k] for f in found]) for k in range(3))
+        if splits is None:
+            step = max(1, len(token) // (SAMPLED_SUFFIXES * max(1, len(ids))))
+            yield pa.RecordBatch.from_arrays([pa.array(token[::step].view(np.int64)), pa.array(own[::step])], names=["token", "id"])
+        else:
+            yield P.blob_rows([(0, b, P.pack(*x)) for b, x in P.dealt(P.range_of(token, own, splits.value), token, own, place)])
 
     return run
 
@@ -109,7 +115,7 @@ def _suffixes(length: int, splits: Broadcast | None):
 def _shared(bins: int):
     """Range by range: suffixes whose token is met in two documents, or touches an edge; as blobs (id, place) by document bin."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for _, blobs in P.groups(batches):
             token, ids, place = P.joined(blobs)
             order = np.lexsort((ids, token))
@@ -120,39 +126,37 @@ def _shared(bins: int):
             keep[0] = keep[-1] = True
             keep = np.repeat(keep, size)
             ids, place = ids[keep], place[keep]
-            yield P.blob_rows([(0, b, P.pack(*x)) for b, x in P.dealt(P.doc_bin(ids, bins), ids, place)])
+            yield P.doc_bin(ids, bins), ids, place
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from P.gathered(found(batches), 0)
 
     return run
 
 
-_DOC, _SEGMENTS, _SPANS = 0, 1, 2
-_OUT = "kind int, bin int, blob binary, _id long, n_bytes long, _text binary, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
-_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SEGMENTS, _SPANS = 1, 2
+_OUT = "_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
 _OUT_ARROW = pa.schema(
-    [("kind", pa.int32()), ("bin", pa.int32()), ("blob", pa.binary()), ("_id", pa.int64()), ("n_bytes", pa.int64()), ("_text", pa.binary()), ("spans", _SPAN_TYPE), ("kept_sha256", pa.string()), ("kept", pa.binary())]
+    [("_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())]
 )
 
 
-def _out(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{f.name: None for f in _OUT_ARROW} | r for r in rows], schema=_OUT_ARROW)
-
-
-def _done(doc: int | None, raw: bytes, spans: list[tuple[int, int]], with_bytes: bool) -> dict:
+def _done(doc: int | None, raw: bytes, spans: list[list[int]], with_bytes: bool) -> dict:
     kept, at = [], 0
     for a, b in spans:
         kept.append(raw[at:a])
         at = b
     kept = b"".join([*kept, raw[at:]])
-    row = {"kind": _DOC, "_id": doc, "n_bytes": len(raw), "spans": [{"start": a, "end": b} for a, b in spans], "kept_sha256": hashlib.sha256(kept).hexdigest()}
-    return row | ({"kept": kept} if with_bytes else {})
+    row = {"_id": doc, "n_bytes": len(raw), "spans": [{"start": a, "end": b} for a, b in spans], "kept_sha256": hashlib.sha256(kept).hexdigest()}
+    return row | {"kept": kept if with_bytes else None}
 
 
-def _segments(length: int, ranges: int, bins: int, with_bytes: bool):
-    """Blobs of a document bin come first, then its texts. Texts without a kept anchor are done; of the others come the
-    text, the segments by range and the spans that are decided here."""
+def _segments(length: int, ranges: int, bins: int):
+    """Blobs of a document bin come first, then its texts: their segments at kept anchors, by range, and the spans that are decided here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ids, places = None, [], None, None
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             bin_col, texts = batch.column("bin").to_numpy(), batch.column("_text")
             blobs = batch.column("blob").to_pylist()
@@ -170,31 +174,40 @@ def _segments(length: int, ranges: int, bins: int, with_bytes: bool):
                     order = np.lexsort((places, ids))
                     ids, places, held = ids[order], places[order], []
                 data, offsets = K.column_bytes(texts.slice(a, b - a))
-                yield from _work(data, offsets, batch.column("_id").slice(a, b - a).to_pylist(), ids, places)
-
-    def _work(data, offsets, own, ids, places) -> Iterator[pa.RecordBatch]:
-        raw = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(len(own))]
-        low, high = np.searchsorted(ids, [x or 0 for x in own], "left"), np.searchsorted(ids, [x or 0 for x in own], "right")
-        wanted = np.array([x is not None for x in own], bool) & (high > low)
-        rows = [_done(own[k], raw[k], [], with_bytes) for k in np.flatnonzero(~wanted)]
-        rows += [{"kind": _DOC, "bin": int(P.doc_bin(np.int64(own[k]), bins)), "_id": own[k], "n_bytes": len(raw[k]), "_text": raw[k]} for k in np.flatnonzero(wanted)]
-        for k in range(0, len(rows), 2000):
-            yield _out(rows[k : k + 2000])
+                own = batch.column("_id").slice(a, b - a).to_pylist()
+                for i, j in K.blocks(offsets, _FLUSH):
+                    parts += _found(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], own[i:j], ids, places)
+                    if sum(len(p[-1]) for p in parts) >= 4 * _FLUSH:
+                        yield _sent(parts)
+                        parts = []
+        if parts:
+            yield _sent(parts)
+
+    def _found(data, offsets, own, ids, places) -> list[tuple[np.ndarray, ...]]:
+        """(token, id, mark, start, size, bytes) of the segments at kept places."""
+        known = np.array([x is not None for x in own], bool)
+        own = np.array([x or 0 for x in own], np.int64)
+        low, high = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+        wanted = np.flatnonzero(known & (high > low))
+        own, low, high, sizes = own[wanted], low[wanted], high[wanted], np.diff(offsets)[wanted]
+        marks = np.array([xxhash.xxh64_intdigest(data[offsets[k] : offsets[k + 1]].tobytes()) for k in wanted], np.uint64)
+        # texts in a row, and the kept places as (text, place) numbers in order
+        data, offsets = data[P.ragged(offsets[wanted], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+        kept = (np.repeat(np.arange(len(wanted)), high - low) << 40) | places[P.ragged(low, high - low)]
         parts = []
-        for k in np.flatnonzero(wanted):
-            kept = places[low[k] : high[k]]
-            alone = data[offsets[k] : offsets[k + 1]]
-            for _, base, piece, at in _cut(alone, np.array([0, len(alone)]), length):
-                _, place, first, last, token = anchors(piece, at, length)
-                ok = np.isin(place + base, kept)
-                first, last, token = first[ok], last[ok], token[ok]
-                n = len(first)
-                sizes = last + length - first
-                body = piece[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
-                parts.append((token, np.full(n, own[k], np.int64), np.full(n, xxhash.xxh64_intdigest(raw[k]), np.uint64), first + base, sizes, body))
-        if not parts:
-            return
+        for i, base, piece, at in _cut(data, offsets, length):
+            text, place, first, last, token = anchors(piece, at, length)
+            number = ((i + text) << 40) | (place - at[text] + base)
+            ok = kept[np.minimum(np.searchsorted(kept, number), len(kept) - 1)] == number
+            text, first, last, token = text[ok], first[ok], last[ok], token[ok]
+            sizes = last + length - first
+            parts.append((token, own[i + text], marks[i + text], first - at[text] + base, sizes, piece[P.ragged(first, sizes)]))
+        return parts
+
+    def _sent(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         token, doc, mark, start, size, body = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        if not len(token):
+            return P.blob_rows([])
         ends = np.cumsum(size)
         whole = K.span_hashes(body, ends - size, ends)
         order = np.lexsort((doc, whole, token))
@@ -203,13 +216,13 @@ def _segments(length: int, ranges: int, bins: int, with_bytes: bool):
         go = np.zeros(len(token), bool)
         go[order] = doc[order] == least
         here = ~go
-        blobs = [{"kind": _SPANS, "bin": b, "blob": P.pack(*x)} for b, x in P.dealt(P.doc_bin(doc[here], bins), doc[here], mark[here], start[here], start[here] + size[here])]
+        blobs = [(_SPANS, b, P.pack(*x)) for b, x in P.dealt(P.doc_bin(doc[here], bins), doc[here], mark[here], start[here], start[here] + size[here])]
         edges = np.uint64(((1 << 64) - 1) // ranges + 1)
         for b, (rows_,) in P.dealt((token[go] // edges).astype(np.int64), np.flatnonzero(go)):
             s = size[rows_]
-            packed = body[np.repeat(ends[rows_] - np.cumsum(s), s) + np.arange(s.sum())]
-            blobs.append({"kind": _SEGMENTS, "bin": b, "blob": P.pack(token[rows_], doc[rows_], mark[rows_], start[rows_], s, whole[rows_], packed)})
-        yield _out(blobs)
+            packed = body[P.ragged(ends[rows_] - s, s)]
+            blobs.append((_SEGMENTS, b, P.pack(token[rows_], doc[rows_], mark[rows_], start[rows_], s, packed)))
+        return P.blob_rows(blobs)
 
     return run
 
@@ -234,12 +247,34 @@ def multikey_groups(words: np.ndarray) -> np.ndarray:
 
 
 def _spans_of(length: int, bins: int):
-    """Range by range: segments of a token against each other; spans as blobs (id, mark, start, end) by document bin."""
+    """Range by range: segments of a token against each other; spans as blobs (id, mark, start, end) by document bin.
+    Spans that come along go on as they are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in P.groups(batches):
-            token, doc, mark, start, size, whole, body = P.joined(blobs)
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            passed.append(batch.filter(pa.array(kinds == _SPANS)))
+            yield batch.filter(pa.array(kinds == _SEGMENTS))
+
+    passed: list[pa.RecordBatch] = []
+
+    def least_of_windows(body: np.ndarray, at: np.ndarray, counts: np.ndarray, token: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """For each window of the segments that start at `at`: the smallest document with an equal window."""
+        window = P.ragged(at, counts)
+        table = np.zeros((len(window), -(-length // 8) * 8), np.uint8)
+        for k in range(length):
+            table[:, k] = body[window + k]
+        words = np.concatenate([np.repeat(token, counts).astype(np.uint64)[:, None], table.view(">u8").astype(np.uint64)], axis=1)
+        _, group = np.unique(multikey_groups(words), return_inverse=True)
+        first = np.full(group.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, group, np.repeat(least, counts))
+        return first[group]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for _, blobs in P.groups(segments(batches)):
+            token, doc, mark, start, size, body = P.joined(blobs)
             at = np.cumsum(size) - size
+            whole = K.span_hashes(body, at, at + size)
             order = np.lexsort((doc, whole, token))
             token, doc, mark, start, size, whole, at = (x[order] for x in (token, doc, mark, start, size, whole, at))
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (whole[1:] != whole[:-1])])
@@ -251,36 +286,34 @@ def _spans_of(length: int, bins: int):
             alone = (np.bincount(of_token) == 1)[of_token]
             whole_gone = alone[kind] & (least[kind] < doc)
             out = [(doc[whole_gone], mark[whole_gone], start[whole_gone], (start + size)[whole_gone])]
-            # windows of the different segments of a token
+            # windows of the different segments of a token, some tokens at a time
             many = np.flatnonzero(~alone)
+            n_windows = size[heads] - length + 1
             if len(many):
-                n_windows = size[heads[many]] - length + 1
-                window = P.ragged(at[heads[many]], n_windows)
-                owner = np.repeat(np.arange(len(many)), n_windows)
-                wide = -(-length // 8) * 8
-                table = np.zeros((len(window), wide), np.uint8)
-                for k in range(length):
-                    table[:, k] = body[window + k]
-                words = np.concatenate([np.repeat(of_token[many], n_windows).astype(np.uint64)[:, None], table.view(">u8").astype(np.uint64)], axis=1)
-                group = multikey_groups(words)
-                _, group = np.unique(group, return_inverse=True)
-                first = np.full(group.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(first, group, least[many][owner])
-                least_of_window = first[group]
-                begin = np.cumsum(n_windows) - n_windows
-                place = np.full(len(heads), -1)
-                place[many] = np.arange(len(many))
-                mine = np.flatnonzero(~alone[kind])
-                which = place[kind[mine]]
-                counts = n_windows[which]
-                gone = least_of_window[P.ragged(begin[which], counts)] < np.repeat(doc[mine], counts)
-                s, e = K.runs(gone, np.cumsum(counts))
-                row = np.searchsorted(np.cumsum(counts), s, "right")
-                inside = s - (np.cumsum(counts) - counts)[row]
-                rows = mine[row]
-                out.append((doc[rows], mark[rows], start[rows] + inside, start[rows] + inside + (e - s) + length - 1))
+                before = np.cumsum(n_windows[many]) - n_windows[many]
+                opening = np.flatnonzero(np.concatenate([[True], np.diff(of_token[many]) != 0]))
+                cuts = opening[np.unique(before[opening] // _SORTED, return_index=True)[1]]
+                last = np.concatenate([heads[1:], [len(doc)]])
+                for x, y in zip(cuts, np.concatenate([cuts[1:], [len(many)]]), strict=True):
+                    own = many[x:y]
+                    gone = least_of_windows(body, at[heads[own]], n_windows[own], of_token[own], least[own])
+                    rows = P.ragged(heads[own], last[own] - heads[own])
+                    which = np.repeat(np.arange(len(own)), last[own] - heads[own])
+                    counts = n_windows[own][which]
+                    first = np.cumsum(n_windows[own]) - n_windows[own]
+                    over = gone[P.ragged(first[which], counts)] < np.repeat(doc[rows], counts)
+                    ends = np.cumsum(counts)
+                    s, e = K.runs(over, ends)
+                    row = np.searchsorted(ends, s, "right")
+                    inside = s - (ends - counts)[row]
+                    rows = rows[row]
+                    out.append((doc[rows], mark[rows], start[rows] + inside, start[rows] + inside + (e - s) + length - 1))
             doc, mark, a, b = (np.concatenate([o[k] for o in out]) for k in range(4))
-            yield P.blob_rows([(_SPANS, x, P.pack(*y)) for x, y in P.dealt(P.doc_bin(doc, bins), doc, mark, a, b)])
+            yield P.doc_bin(doc, bins), doc, mark, a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from P.gathered(found(batches), _SPANS)
+        yield from passed
 
     return run
 
@@ -302,16 +335,16 @@ def _removed(with_bytes: bool):
                     spans = P.joined(held) if held else [np.empty(0, np.int64)] * 4
                     order = np.lexsort((spans[2], spans[0]))
                     spans, held = [x[order] for x in spans], []
-                a, b = np.searchsorted(spans[0], own, "left"), np.searchsorted(spans[0], own, "right")
-                mine = spans[1][a:b].astype(np.uint64) == np.uint64(xxhash.xxh64_intdigest(text))
+                a, b = (0, 0) if own is None else np.searchsorted(spans[0], [own, own + 1], "left")
+                mine = spans[1][a:b].astype(np.uint64) == np.uint64(xxhash.xxh64_intdigest(text)) if b > a else slice(0, 0)
                 merged: list[list[int]] = []
                 for s, e in zip(spans[2][a:b][mine].tolist(), spans[3][a:b][mine].tolist(), strict=True):
                     if merged and s <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], e)
                     else:
                         merged.append([s, e])
-                rows.append(_done(own, text, [(s, e) for s, e in merged], with_bytes))
-            yield _out(rows)
+                rows.append(_done(own, text, merged, with_bytes))
+            yield pa.RecordBatch.from_pylist(rows, schema=_OUT_ARROW)
 
     return run
 
@@ -338,19 +371,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     suffixes = named.mapInArrow(_suffixes(length, splits), P.BLOB).repartition(parts, "bin").sortWithinPartitions("bin")
     shared = scratch.keep(suffixes.mapInArrow(_shared(bins), P.BLOB), "shared")
-    spark._jvm.System.gc()  # lets Spark drop the shuffle files of the step that has been written
+    release(spark)
 
     place = F.coalesce(F.pmod(F.col("_id").bitwiseXOR(F.shiftright("_id", 17)), F.lit(bins)), F.pmod(F.xxhash64("_text"), F.lit(bins))).cast("int")
     texts = rows.select(place.alias("bin"), F.lit(None).cast("binary").alias("blob"), "_id", "_text")
     blobs = lambda frame: frame.select("bin", "blob", F.lit(None).cast("long").alias("_id"), F.lit(None).cast("binary").alias("_text"))
     met = blobs(shared).unionByName(texts).repartition(parts, "bin").sortWithinPartitions("bin", F.col("blob").isNull())
-    judged = scratch.keep(met.mapInArrow(_segments(length, ranges, bins, with_bytes), _OUT), "segments")
+    by_range = met.mapInArrow(_segments(length, ranges, bins), P.BLOB).repartition(parts, "bin").sortWithinPartitions("kind", "bin")
+    spans = scratch.keep(by_range.mapInArrow(_spans_of(length, bins), P.BLOB), "spans")
     scratch.drop(shared)
-    spark._jvm.System.gc()
+    release(spark)
 
-    segments = judged.filter(F.col("kind") == _SEGMENTS).select("kind", "bin", "blob").repartition(parts, "bin").sortWithinPartitions("bin")
-    spans = segments.mapInArrow(_spans_of(length, bins), P.BLOB).unionByName(judged.filter(F.col("kind") == _SPANS).select("kind", "bin", "blob"))
-    open_ = judged.filter((F.col("kind") == _DOC) & F.col("_text").isNotNull()).select("bin", "blob", "_id", "_text")
-    last = blobs(spans).unionByName(open_).repartition(parts, "bin").sortWithinPartitions("bin", F.col("blob").isNull())
-    done = judged.filter((F.col("kind") == _DOC) & F.col("_text").isNull()).unionByName(last.mapInArrow(_removed(with_bytes), _OUT))
+    last = blobs(spans).unionByName(texts).repartition(parts, "bin").sortWithinPartitions("bin", F.col("blob").isNull())
+    done = last.mapInArrow(_removed(with_bytes), _OUT)
     return done.select(F.col("_id").alias(id_col), "n_bytes", "spans", "kept_sha256", *(["kept"] if with_bytes else []))
