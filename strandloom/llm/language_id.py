@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import packed as P
 from strandloom.llm import textkernels as K
+from strandloom.llm.sampling import by_hash
 
 LETTERS = K.byte_table(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", high=True)
 _START, _END = 1, 2
@@ -244,10 +245,11 @@ def train(rows: list[tuple[str, str]], p: LanguageParams = LanguageParams()) ->
 
 
 def _sample(docs: DataFrame, p: LanguageParams, id_col: str, text_col: str, lang_col: str, learn: Column) -> list[tuple[str, str]]:
-    """Labelled rows in the order of a hash of the id, p.train_rows at most."""
-    labelled = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= p.train_bytes))
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, F.lit(3)).alias("h"))
-    return [(r["text"], r["lang"]) for r in rows.orderBy("h", "lang", "text").limit(p.train_rows).collect()]
+    """Labelled rows, p.train_rows at most: the first by a hash of the id among a sample by another hash."""
+    labelled = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    chosen = by_hash(labelled, id_col, 3, p.train_rows).filter(F.octet_length(text_col) <= p.train_bytes)
+    found = chosen.select(F.xxhash64(id_col, F.lit(4)).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(found)[: p.train_rows]]
 
 
 def _has_letter(raw: bytes) -> bool:

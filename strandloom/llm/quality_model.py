@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import quality_rules
+from strandloom.llm.sampling import by_hash
 
 
 @dataclass(frozen=True)
@@ -168,9 +169,9 @@ def compiled(model: Ensemble) -> Column:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, p: EnsembleParams) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled rows in the order of a hash of the id, p.train_rows at most; only the statistics of those rows come here."""
-    chosen = labels.filter(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64("_label_id", F.lit(5)), "_label_id", "_y").limit(p.train_rows)
+    """Labelled rows, p.train_rows at most, chosen by a hash of the id; only the statistics of those rows come here."""
+    known = labels.filter(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_y"))
+    chosen = by_hash(known, "_label_id", 5, p.train_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_label_id"))
     told = features(rows, "_text").select(F.xxhash64("_id", "_text").alias("_h"), "_y", *FEATURES)
     found = told.orderBy("_h", "_y").limit(p.train_rows).drop("_h").collect()
