@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm import shingles
 from strandloom.llm import textkernels as K
 from strandloom.operators.components import connected_components
 from strandloom.scratch import Scratch, shuffle_partitions
@@ -246,13 +247,15 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one row of each component: that of the smallest id, and of those the least text.
 
-    Rows without an id cannot be told from each other and all stay.
+    Texts link where the Jaccard similarity of their sets of word shingles is `similarity` or more (see shingles.py);
+    texts without words are alike. Rows without an id cannot be told from each other: all stay, and they link no others.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
-    firsts = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    rows, found = shingles.alike(docs, id_col, text_col, shingle, similarity, Scratch(docs.sparkSession))
+    placed = rows.groupBy("set").agg(F.min("_id").alias("first")).join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    firsts = placed.groupBy("component").agg(F.min("first").alias(id_col)).select(id_col).distinct()
     place = Window.partitionBy(id_col).orderBy(text_col)
     kept = docs.join(firsts, id_col, "left_semi").withColumn("_place", F.row_number().over(place)).filter("_place = 1").drop("_place")
     return kept.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
