@@ -254,8 +254,13 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     texts without words are alike. Rows without an id cannot be told from each other: all stay, and they link no others.
     """
     rows, found = shingles.alike(docs, id_col, text_col, shingle, similarity, Scratch(docs.sparkSession))
-    placed = rows.groupBy("set").agg(F.min("_id").alias("first")).join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    firsts = placed.groupBy("component").agg(F.min("first").alias(id_col)).select(id_col).distinct()
-    place = Window.partitionBy(id_col).orderBy(text_col)
-    kept = docs.join(firsts, id_col, "left_semi").withColumn("_place", F.row_number().over(place)).filter("_place = 1").drop("_place")
+    placed = rows.groupBy("set").agg(F.min("_id").alias("_id")).join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    least = placed.groupBy("component").agg(F.min("_id").alias("_id"))
+    # rows of one id may have unlike texts, so a row is known by its id and its text's hash
+    firsts = placed.join(least, ["component", "_id"]).join(rows, ["set", "_id"])
+    firsts = firsts.groupBy("_id").agg(F.collect_set(F.struct("text_hash", "component")).alias("_components"))
+    place = Window.partitionBy(id_col, "_component").orderBy(text_col)
+    kept = docs.join(firsts.withColumnRenamed("_id", "_first"), F.col(id_col) == F.col("_first"))
+    kept = kept.withColumn("_component", F.try_element_at(F.map_from_entries("_components"), F.xxhash64(text_col))).filter("_component is not null")
+    kept = kept.withColumn("_place", F.row_number().over(place)).filter("_place = 1")
     return kept.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -54,3 +54,17 @@ def test_pairs_at_similarity_08_link_and_others_do_not(spark, seed):
     got = {r.doc_id for r in S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = survivors(texts)
     assert got == want, (len(got), len(want), len(texts))
+
+
+def test_survivors_are_rows_not_ids(spark):
+    rng = random.Random(4)
+    one, two, three = ([f"w{rng.getrandbits(30)}" for _ in range(100)] for _ in range(3))
+    near = lambda words: " ".join(edited(rng, words, 1))
+    # id 5 has two clean texts; id 7 one that is the first of its component and one that is a near copy of id 5's
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (7, " ".join(three)), (7, near(one)), (8, near(three)), (9, near(two)), (9, "")]
+    rows += [rows[2]]
+    got = sorted((r.doc_id, r.text) for r in S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([rows[0], rows[1], rows[2], rows[6]])
+    near_first = [(3, " ".join(one)), (3, near(one)), (4, near(one))]
+    got = [tuple(r) for r in S.drop_near_duplicates(spark.createDataFrame(near_first, "doc_id long, text string")).collect()]
+    assert got == [min(near_first[:2])]
