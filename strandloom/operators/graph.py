@@ -52,11 +52,61 @@ def tips(edges: DataFrame) -> DataFrame:
     return edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti").select("edge", "src", "dst", "mult")
 
 
+def _run_ends(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(src, at): for each node with one way out, the node where its unbranched run ends; itself if the run is closed."""
+    ways = links.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("at")).filter("n = 1 and src <> at")
+    now = scratch.keep(ways.select("src", "at"), "runs")
+    for _ in range(now.count().bit_length()):
+        jump = now.select(F.col("src").alias("at"), F.col("at").alias("to"))
+        after = scratch.keep(now.join(jump, "at", "left").select("src", F.coalesce("to", "at").alias("at")), "runs")
+        still = after.join(now.withColumnRenamed("at", "was"), "src").filter("at <> was").limit(1).count()
+        scratch.drop(now)
+        now = after
+        if not still:
+            break
+    # what leads to a node of the table after so many jumps runs into a cycle
+    open_ = now.select(F.col("src").alias("at"), F.lit(True).alias("open"))
+    ends = scratch.keep(now.join(open_, "at", "left").select("src", F.when(F.col("open"), F.col("src")).otherwise(F.col("at")).alias("at")), "ends")
+    scratch.drop(now)
+    return ends
+
+
+def _endless(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node): nodes from which a walk can go on without end.
+
+    Round by round unbranched runs are contracted to their ends by pointer jumping and ways into nodes without a way out
+    are taken away, until there is none; rounds grow with the branchings on a dead end, not with its length.
+    """
+    links = scratch.keep(edges.select("src", "dst").distinct(), "links")
+    contracted = []
+    while True:
+        ends = _run_ends(links, scratch)
+        contracted.append(ends)
+        to = ends.select(F.col("src").alias("dst"), "at")
+        kept = links.join(ends.select("src"), "src", "left_anti").join(to, "dst", "left").select("src", F.coalesce("at", "dst").alias("dst"))
+        shorter = scratch.keep(kept.unionByName(ends.filter("src = at").select("src", F.col("at").alias("dst"))).distinct(), "links")
+        fewer = scratch.keep(shorter.join(shorter.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "links")
+        done = fewer.count() == shorter.count()
+        for table in (links, shorter):
+            scratch.drop(table)
+        links = fewer
+        if done:
+            break
+    alive = links.select(F.col("src").alias("node")).distinct()
+    for ends in reversed(contracted):
+        more = ends.join(alive.withColumnRenamed("node", "at"), "at", "left_semi").select(F.col("src").alias("node"))
+        alive = scratch.keep(alive.unionByName(more).distinct(), "endless")
+    return alive
+
+
 def reduce_tips(edges: DataFrame, scratch: Scratch | None = None, most_rounds: int | None = None) -> DataFrame:
     """Edges that are left when edges without a successor are taken away again and again, `most_rounds` times at most."""
     scratch = scratch or Scratch(edges.sparkSession)
     left, rounds, before = scratch.keep(edges, "edges"), 0, -1
-    while (n := left.count()) != before and (most_rounds is None or rounds < most_rounds):
+    if most_rounds is None:
+        endless = _endless(left, scratch).withColumnRenamed("node", "dst")
+        return left.join(endless, "dst", "left_semi").select("edge", "src", "dst", "mult")
+    while (n := left.count()) != before and rounds < most_rounds:
         before, rounds = n, rounds + 1
         fewer = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("edge", "src", "dst", "mult")
         fewer = scratch.keep(fewer, "edges")

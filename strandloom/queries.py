@@ -86,6 +86,11 @@ def q_tip_reduction(spark, sf_dir):
     return graph.reduce_tips(_document_edges(spark, sf_dir), most_rounds=3)
 
 
+def q_tip_reduction_all(spark, sf_dir):
+    """To the last tip, which SQL cannot express: a recursive query deletes nothing. tip_reduction is its first three rounds."""
+    return graph.reduce_tips(_document_edges(spark, sf_dir))
+
+
 def q_reachability(spark, sf_dir):
     edges, starts, scratch = _searched(spark, sf_dir)
     return cycles.reachability(edges, starts, ONE_STRAND.max_cycle, scratch).select("edge", F.col("closed_walk").cast("long").alias("closed_walk"))
@@ -182,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "invalidate": q_invalidate,
     "tips": lambda s, d: graph.tips(_document_edges(s, d)),
     "tip_reduction": q_tip_reduction,
+    "tip_reduction_all": q_tip_reduction_all,
     "start_candidates": lambda s, d: cycles.candidates(_edges(s, d), ONE_STRAND),
     "start_buckets": q_start_buckets,
     "reachability": q_reachability,

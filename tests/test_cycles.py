@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom import queries
 from strandloom.operators import arrays, cycles, graph, kmers
 from strandloom.operators.components import connected_components
 from strandloom.params import Params
@@ -110,6 +111,34 @@ def test_tips(spark):
     assert graph.invalidate(edges, edges.limit(2)).count() == 5
 
 
+def without_tips(mults):
+    left = set(mults)
+    while True:
+        ways = {e[:-1] for e in left}
+        fewer = {e for e in left if e[1:] in ways}
+        if fewer == left:
+            return left
+        left = fewer
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tips_go_to_the_last(spark, seed):
+    rng = random.Random(seed)
+    # long dead ends, branched ones, and one that leads to a cycle
+    seqs = [*tangle(seed), loop(40), dna(rng, 60) + loop(30), *[loop(40)[:20] + dna(rng, n) for n in (5, 90, 400)]]
+    for k in (4, 9):
+        mults = brute.edges(seqs, k)
+        got = {r.edge for r in graph.reduce_tips(table(spark, mults)).collect()}
+        assert got == without_tips(mults)
+        assert k == 4 or len(got) < len(mults)
+
+
+def test_registered_tip_reduction_goes_to_the_last(spark, monkeypatch):
+    mults = brute.edges([dna(random.Random(6), 300), "AC" * 30], 9)
+    monkeypatch.setattr(queries, "_document_edges", lambda *a: table(spark, mults))
+    assert {r.edge for r in queries.QUERIES["tip_reduction_all"](spark, "").collect()} == without_tips(mults) != set()
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + k, 1001 + k) for k in range(120)] + [(2000, 2001 + k) for k in range(200)] + [(5, 5), (None, 3)]
