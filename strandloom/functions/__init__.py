@@ -11,9 +11,16 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def windows(seq: Column, size: int) -> Column:
-    """All substrings of `size` letters over ACGT, by place; none for a shorter or null sequence."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(seq) - size + 1), lambda i: F.substr(seq, i, F.lit(size)))
-    return F.when(F.length(seq) >= size, F.filter(cut, lambda w: w.rlike("^[ACGT]+$"))).otherwise(F.array().cast("array<string>"))
+    """All substrings of `size` letters over ACGT, by place; none for a shorter or null sequence.
+
+    A look-ahead matches at every place, so a sequence is walked over once, whatever its length.
+    """
+    return F.coalesce(F.regexp_extract_all(seq, F.lit(f"(?=([ACGT]{{{size}}}))"), F.lit(1)), F.array().cast("array<string>"))
+
+
+def code(seq: Column, k: int) -> Column:
+    """A sequence of `k` letters over ACGT as a number of two bits a letter; as it is where that does not fit 64 bits."""
+    return F.conv(F.translate(seq, "ACGT", "0123"), 4, 10).cast("long") if k <= 31 else seq
 
 
 def label(edge: Column, k: int) -> Column:

@@ -81,10 +81,12 @@ def call_arrays(cycles: DataFrame, params: Params = Params()) -> DataFrame:
 
 def spaced_substrings(texts: DataFrame, shortest: int, longest: int, least_gap: int, most_gap: int) -> DataFrame:
     """(id, substring, frequency) of substrings that occur more than once, all gaps between neighbours inside the bounds. texts: (id, text)."""
-    lengths = F.sequence(F.lit(shortest), F.lit(longest))
-    cuts = texts.select("id", "text", F.explode(lengths).alias("size")).filter(F.length("text") >= F.col("size"))
-    cuts = cuts.select("id", "text", "size", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1)).alias("at"))
-    cuts = cuts.select("id", "at", F.substr("text", F.col("at"), F.col("size")).alias("substring"))
+    cuts = None
+    for size in range(shortest, longest + 1):
+        # one pass over a text, and no row carries it
+        every = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
+        here = texts.select("id", F.posexplode(every).alias("at", "substring"))
+        cuts = here if cuts is None else cuts.unionByName(here)
     gap = F.col("at") - F.lag("at").over(Window.partitionBy("id", "substring").orderBy("at"))
     ok = F.coalesce(gap.between(least_gap, most_gap), F.lit(True))
     return cuts.withColumn("ok", ok).groupBy("id", "substring").agg(F.count("*").alias("frequency"), F.every("ok").alias("ok")).filter("ok and frequency > 1").drop("ok")

@@ -7,12 +7,10 @@ or three joins instead of one for each letter.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions import log2_bucket
-from strandloom.operators.components import connected_components
+from strandloom.functions import code, log2_bucket
 from strandloom.operators.graph import degrees
 from strandloom.params import Params
 from strandloom.scratch import Scratch
@@ -28,11 +26,12 @@ def bucket_sizes(starts: DataFrame) -> DataFrame:
     return starts.groupBy("bucket").agg(F.count("*").alias("n_starts"))
 
 
-def unitigs(edges: DataFrame, starts: DataFrame, longest: int, scratch: Scratch) -> DataFrame:
-    """unitigs(head, head_src, tail_dst, nodes, n, min_mult) of at most `longest` edges; each start is a head.
+def unitigs(edges: DataFrame, starts: DataFrame, longest: int, k: int, scratch: Scratch) -> DataFrame:
+    """unitigs(id, head, src, dst, nodes, n, min_mult) of at most `longest` edges, written; each start is a head.
 
-    An edge joins its only successor if that has no other predecessor. After the rounds, runs that are still open are
-    longer than `longest` or closed without a branch; neither lies on a bounded cycle through a start.
+    An edge joins its only successor if that has no other predecessor. src and dst are the numbers of the nodes that a
+    unitig runs between. Runs that are still open after the rounds are longer than `longest` or closed without a
+    branch; neither lies on a bounded cycle through a start.
     """
     known = degrees(edges)
     # the node before an edge is plain if one edge enters it and one leaves it
@@ -46,6 +45,8 @@ def unitigs(edges: DataFrame, starts: DataFrame, longest: int, scratch: Scratch)
     others = plain.filter("not is_head").join(before, "src").select("edge", "src", "dst", "mult", F.col("previous").alias("at"), F.lit(1).alias("steps"), F.lit(False).alias("done"))
     placed = scratch.keep(heads.unionByName(others), "pointers")
     for _ in range(max(1, longest.bit_length())):
+        if not placed.filter("not done").limit(1).count():
+            break
         jump = placed.select(F.col("edge").alias("at"), F.col("at").alias("to"), F.col("steps").alias("more"), F.col("done").alias("ends"))
         settled = placed.filter("done")
         moved = placed.filter("not done").join(jump, "at").select("edge", "src", "dst", "mult", F.col("to").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done"))
@@ -55,61 +56,96 @@ def unitigs(edges: DataFrame, starts: DataFrame, longest: int, scratch: Scratch)
     runs = placed.filter(F.col("done") & (F.col("steps") <= longest)).groupBy(F.col("at").alias("head")).agg(
         F.array_sort(F.collect_list(F.struct("steps", "edge", "src", "dst"))).alias("run"), F.min("mult").alias("min_mult")
     )
-    return runs.filter(F.size("run") <= longest).select(
-        "head", F.col("run")[0]["src"].alias("head_src"), F.element_at("run", -1)["dst"].alias("tail_dst"), F.transform("run", lambda x: x["edge"]).alias("nodes"),
-        F.size("run").alias("n"), "min_mult",
+    runs = runs.filter(F.size("run") <= longest).select(
+        F.monotonically_increasing_id().alias("id"), "head", code(F.col("run")[0]["src"], k).alias("src"), code(F.element_at("run", -1)["dst"], k).alias("dst"),
+        F.transform("run", lambda x: x["edge"]).alias("nodes"), F.size("run").alias("n"), "min_mult",
     )
+    out = scratch.keep(runs, "unitigs")
+    scratch.drop(placed)
+    return out
 
 
-def reachability(edges: DataFrame, starts: DataFrame, limit: int, scratch: Scratch | None = None) -> DataFrame:
+def _ways_back(steps: DataFrame, begun: DataFrame, limit: int, max_ratio: int | None, scratch: Scratch) -> DataFrame:
+    """(start, at, left): the least number of edges from a node back to the source of each start, `limit` with the start's own at most.
+
+    steps: (id, src, dst, n, min_mult); begun: (start, mult, home, n), a start's unitig, source node and edges.
+    """
+    within = F.lit(True) if max_ratio is None else F.expr("mult div min_mult") <= max_ratio
+    front = scratch.keep(begun.select("start", "mult", F.col("n").alias("own"), F.col("home").alias("at"), F.lit(0).alias("left")), "back")
+    seen = scratch.keep(front.select("start", "at", "left"), "ways")
+    into = steps.select("id", F.col("src").alias("from"), F.col("dst").alias("at"), F.col("n").alias("more"), "min_mult")
+    while True:
+        moved = front.join(into, "at").filter((F.col("id") != F.col("start")) & (F.col("own") + F.col("left") + F.col("more") <= limit) & within)
+        nearer = moved.groupBy("start", "mult", "own", F.col("from").alias("at")).agg(F.min(F.col("left") + F.col("more")).alias("left"))
+        known = seen.withColumnRenamed("left", "known")
+        further = scratch.keep(nearer.join(known, ["start", "at"], "left").filter("known is null or left < known").select("start", "mult", "own", "at", "left"), "back")
+        scratch.drop(front)
+        front = further
+        if not front.limit(1).count():
+            return seen
+        merged = scratch.keep(seen.unionByName(front.select("start", "at", "left")).groupBy("start", "at").agg(F.min("left").alias("left")), "ways")
+        scratch.drop(seen)
+        seen = merged
+
+
+def _begun(parts: DataFrame, starts: DataFrame) -> DataFrame:
+    return starts.select(F.col("edge").alias("head"), "mult").join(parts, "head").select(F.col("id").alias("start"), "head", "mult", F.col("src").alias("home"), "dst", "n", "min_mult")
+
+
+def reachability(edges: DataFrame, starts: DataFrame, limit: int, k: int, scratch: Scratch | None = None) -> DataFrame:
     """(edge, closed_walk): the least number of edges of a closed walk through each start, where it is 2 to `limit`."""
     scratch = scratch or Scratch(edges.sparkSession)
-    parts = scratch.keep(unitigs(edges, starts, limit, scratch).select("head", "head_src", "tail_dst", "n"), "unitigs")
-    seen = scratch.keep(starts.select("edge").join(parts, F.col("edge") == F.col("head")).select("edge", "head", "tail_dst", F.col("n").alias("steps")), "reached")
-    closed, front = seen.limit(0).select("edge", F.col("steps").alias("closed_walk")), seen
-    steps = parts.select(F.col("head").alias("to"), F.col("head_src").alias("tail_dst"), F.col("tail_dst").alias("to_dst"), F.col("n").alias("more"))
-    while front.limit(1).count():
-        moved = front.join(steps, "tail_dst")
-        closed = scratch.keep(closed.unionByName(moved.filter("to = edge").select("edge", F.col("steps").alias("closed_walk"))), "closed")
-        further = moved.filter((F.col("to") != F.col("edge")) & (F.col("steps") + F.col("more") <= limit))
-        further = further.select("edge", F.col("to").alias("head"), F.col("to_dst").alias("tail_dst"), (F.col("steps") + F.col("more")).alias("steps"))
-        further = further.groupBy("edge", "head", "tail_dst").agg(F.min("steps").alias("steps"))
-        known = seen.select("edge", "head", F.col("steps").alias("known"))
-        front = scratch.keep(further.join(known, ["edge", "head"], "left").filter("known is null or steps < known").drop("known"), "front")
-        seen = scratch.keep(seen.unionByName(front).groupBy("edge", "head", "tail_dst").agg(F.min("steps").alias("steps")), "reached")
-    return closed.filter(f"closed_walk between 2 and {limit}").groupBy("edge").agg(F.min("closed_walk").alias("closed_walk"))
+    parts = unitigs(edges, starts, limit, k, scratch).drop("nodes")
+    begun = scratch.keep(_begun(parts, starts), "begun")
+    back = _ways_back(parts, begun, limit, None, scratch).withColumnRenamed("at", "dst")
+    closed = begun.join(back, ["start", "dst"]).select(F.col("head").alias("edge"), (F.col("n") + F.col("left")).alias("closed_walk"))
+    return closed.filter(f"closed_walk between 2 and {limit}")
 
 
 def bounded_cycles(edges: DataFrame, starts: DataFrame, params: Params = Params(), scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """cycles(start, mult, nodes) and truncated(start).
 
     All simple cycles of params.min_cycle to params.max_cycle nodes through each start, each beginning with it, over
-    edges whose multiplicity is at most params.max_ratio times below the start's. A start with more than
-    params.max_frontier open paths is given up: it is in truncated and has no cycles.
+    edges whose multiplicity is at most params.max_ratio times below the start's. A path is followed only while it can
+    get back to its start within the length, and holds numbers of unitigs; only closed ones are spelled. Where
+    params.max_frontier is set, a start with more open paths stops there with the cycles closed so far, and is in
+    truncated.
     """
     scratch = scratch or Scratch(edges.sparkSession)
-    parts = scratch.keep(unitigs(edges, starts, params.max_cycle, scratch), "unitigs")
-    front = starts.select(F.col("edge").alias("start"), "mult").join(parts, F.col("start") == F.col("head"))
-    front = front.filter(F.expr("mult div min_mult") <= params.max_ratio)
-    front = scratch.keep(front.select("start", "mult", "nodes", F.array("head").alias("heads"), F.col("n").alias("size"), F.col("tail_dst").alias("dst")), "front")
-    cycles = front.limit(0).select("start", "mult", "nodes")
-    truncated = front.limit(0).select("start")
-    steps = parts.select("head", F.col("head_src").alias("dst"), "tail_dst", F.col("nodes").alias("more"), "n", "min_mult")
+    parts = unitigs(edges, starts, params.max_cycle, params.k, scratch)
+    begun = scratch.keep(_begun(parts, starts).filter(F.expr("mult div min_mult") <= params.max_ratio), "begun")
+    back = _ways_back(parts.drop("nodes"), begun, params.max_cycle, params.max_ratio, scratch)
+    way = back.withColumnRenamed("at", "dst")
+    front = begun.select("start", "mult", F.array("start").alias("path"), F.col("n").alias("size"), "dst")
+    front = scratch.keep(front.join(way, ["start", "dst"]).filter(F.col("size") + F.col("left") <= params.max_cycle), "front")
+    closed, truncated = [], None
+    steps = parts.select("id", F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("n").alias("more"), "min_mult")
     while front.limit(1).count():
-        full = front.groupBy("start").agg(F.count("*").alias("paths")).filter(F.col("paths") > params.max_frontier).select("start")
-        if full.limit(1).count():
-            truncated = scratch.keep(truncated.unionByName(full), "truncated")
-            front = front.join(full, "start", "left_anti")
-        moved = front.join(steps, "dst")
-        found = moved.filter((F.col("head") == F.col("start")) & (F.col("size") >= params.min_cycle)).select("start", "mult", "nodes")
-        cycles = scratch.keep(cycles.unionByName(found), "cycles")
-        open_ = (F.col("size") + F.col("n") <= params.max_cycle) & ~F.array_contains("heads", F.col("head")) & (F.expr("mult div min_mult") <= params.max_ratio)
-        grown = moved.filter(open_).select(
-            "start", "mult", F.concat("nodes", "more").alias("nodes"), F.array_append("heads", F.col("head")).alias("heads"), (F.col("size") + F.col("n")).alias("size"), F.col("tail_dst").alias("dst")
-        )
-        after = scratch.keep(grown, "front")
-        front = after
-    return cycles.join(truncated, "start", "left_anti").distinct(), truncated
+        # back at the source of its start a path is closed; it may also go on, past the start
+        closed.append(front)
+        going = front
+        if params.max_frontier is not None:
+            full = scratch.keep(front.groupBy("start").agg(F.count("*").alias("paths")).filter(F.col("paths") > params.max_frontier).select("start"), "full")
+            if full.limit(1).count():
+                truncated = full if truncated is None else truncated.unionByName(full)
+                going = front.join(full, "start", "left_anti")
+        moved = going.join(steps, "dst").filter(~F.array_contains("path", F.col("id")) & (F.expr("mult div min_mult") <= params.max_ratio))
+        grown = moved.select("start", "mult", F.array_append("path", F.col("id")).alias("path"), (F.col("size") + F.col("more")).alias("size"), F.col("to").alias("dst"))
+        front = scratch.keep(grown.join(way, ["start", "dst"]).filter(F.col("size") + F.col("left") <= params.max_cycle), "front")
+    found = None
+    for table in closed:
+        here = table.filter((F.col("left") == 0) & (F.col("size") >= params.min_cycle)).select("start", "mult", "path")
+        found = here if found is None else found.unionByName(here)
+    found = front.select("start", "mult", "path") if found is None else found
+    placed = found.select("path", "mult", F.posexplode("path").alias("at", "id")).join(parts.select("id", "nodes"), "id")
+    spelled = placed.groupBy("path", "mult").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "nodes"))), lambda x: x["nodes"])).alias("nodes"))
+    out = scratch.keep(spelled.select(F.col("nodes")[0].alias("start"), "mult", "nodes"), "cycles")
+    names = begun.select("start", "head")
+    given_up = names.limit(0).select(F.col("head").alias("start")) if truncated is None else truncated.distinct().join(names, "start").select(F.col("head").alias("start"))
+    given_up = scratch.keep(given_up, "truncated")
+    for table in (*closed, back, parts, begun):
+        scratch.drop(table)
+    return out, given_up
 
 
 def under_cap(cycles: DataFrame, cap: int) -> DataFrame:
@@ -122,29 +158,29 @@ def greedy(cycles: DataFrame, params: Params = Params(), scratch: Scratch | None
     """cycles(start, mult, nodes) that are kept when starts take turns by bucket, multiplicity and edge.
 
     A start that lies on a kept cycle is passed over; of the others the cycles without a node of a kept cycle count, and
-    all of them are kept if there are any and fewer than params.cycle_cap. Starts meet only inside a connected component
-    of starts and nodes, so components are folded independently of each other.
+    all of them are kept if there are any and fewer than params.cycle_cap.
+
+    A start's turn depends only on earlier starts that share a node with it. So in each round every start that is the
+    first at all its nodes takes its turn at once; cycles that touch what it keeps go, and with them most of what others
+    waited for. (Buckets rise with the multiplicity, so that and the edge are the order.)
     """
     scratch = scratch or Scratch(cycles.sparkSession)
-    cycles = scratch.keep(cycles, "cycles")
-    links = cycles.select("start", F.explode("nodes").alias("node")).distinct()
-    known = connected_components(links, "start", "node", scratch).select(F.col("vertex").alias("start"), "component")
-    placed = cycles.join(known, "start").withColumn("bucket", log2_bucket(F.col("mult")))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        kept = []
-        order = group.drop_duplicates("start").sort_values(["bucket", "mult", "start"], ascending=[False, False, True])["start"]
-        by_start = dict(list(group.groupby("start")))
-        for start in order:
-            if start in taken:
-                continue
-            own = by_start[start]
-            own = own[[taken.isdisjoint(nodes) for nodes in own["nodes"]]]
-            if 0 < len(own) < params.cycle_cap:
-                kept.append(own)
-                taken.update(node for nodes in own["nodes"] for node in nodes)
-        out = pd.concat(kept) if kept else group.iloc[:0]
-        return out[["start", "mult", "nodes"]]
-
-    return placed.groupBy("component").applyInPandas(fold, "start string, mult long, nodes array<string>")
+    rank = F.struct((-F.col("mult")).alias("order"), F.col("start").alias("name"))
+    left = scratch.keep(cycles.select(F.monotonically_increasing_id().alias("cycle"), "start", "mult", "nodes"), "cycles")
+    kept = None
+    while left.limit(1).count():
+        placed = scratch.keep(left.select("cycle", "start", rank.alias("rank"), F.explode("nodes").alias("node")).distinct(), "nodes")
+        first = placed.groupBy("node").agg(F.min("rank").alias("first"))
+        waiting = placed.join(first, "node").filter("rank > first").select("start").distinct()
+        turns = scratch.keep(left.join(waiting, "start", "left_anti"), "turns")
+        few = turns.groupBy("start").agg(F.count("*").alias("n")).filter(F.col("n") < params.cycle_cap).select("start")
+        taking = scratch.keep(turns.join(few, "start", "left_semi"), "kept")
+        kept = taking if kept is None else kept.unionByName(taking)
+        taken = taking.select(F.explode("nodes").alias("node")).distinct()
+        touched = placed.join(taken, "node", "left_semi").select("cycle").distinct()
+        others = left.join(turns.select("start").distinct(), "start", "left_anti").join(taken.withColumnRenamed("node", "start"), "start", "left_anti")
+        after = scratch.keep(others.join(touched, "cycle", "left_anti").select("cycle", "start", "mult", "nodes"), "cycles")
+        for table in (placed, turns, left):
+            scratch.drop(table)
+        left = after
+    return (left if kept is None else kept).select("start", "mult", "nodes")

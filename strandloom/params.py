@@ -23,8 +23,8 @@ class Params:
     max_ratio: int = 500
     #: A start with so many cycles or more loses all of them.
     cycle_cap: int = 500
-    #: A start with more open paths than this is given up and reported as truncated.
-    max_frontier: int = 1_000_000
+    #: If set, a start with more open paths stops with the cycles found so far, and is reported as truncated.
+    max_frontier: int | None = None
     #: Arrays.
     min_cycles: int = 2
     max_repeat_nodes: int = 26
@@ -41,7 +41,7 @@ class Params:
         return self.k - 2
 
     def __post_init__(self) -> None:
-        wrong = [f.name for f in fields(self) if f.name not in ("both_strands", "support", "drop_mult") and getattr(self, f.name) < 1]
+        wrong = [f.name for f in fields(self) if f.name not in ("both_strands", "support", "drop_mult") and (v := getattr(self, f.name)) is not None and v < 1]
         if self.k < 3:
             wrong.append("k")
         if not 0 < self.support <= 1:

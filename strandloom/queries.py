@@ -55,7 +55,7 @@ def _walked(found: DataFrame) -> DataFrame:
 
 
 def q_revcomp(spark, sf_dir):
-    return planted_arrays(spark, sf_dir).select("nk", S.reverse_complement(F.col("seq")).alias("seq"))
+    return planted_arrays(spark, sf_dir).select("nk", "block", S.reverse_complement(F.col("seq")).alias("seq"))
 
 
 def q_kmer_windows(spark, sf_dir):
@@ -83,17 +83,13 @@ def q_invalidate(spark, sf_dir):
 
 
 def q_tip_reduction(spark, sf_dir):
-    return graph.reduce_tips(_document_edges(spark, sf_dir), most_rounds=3)
-
-
-def q_tip_reduction_all(spark, sf_dir):
-    """To the last tip, which SQL cannot express: a recursive query deletes nothing. tip_reduction is its first three rounds."""
-    return graph.reduce_tips(_document_edges(spark, sf_dir))
+    """To the last tip, which SQL cannot express: a recursive query deletes nothing."""
+    return graph.reduce_tips(_document_edges(spark, sf_dir), K)
 
 
 def q_reachability(spark, sf_dir):
     edges, starts, scratch = _searched(spark, sf_dir)
-    return cycles.reachability(edges, starts, ONE_STRAND.max_cycle, scratch).select("edge", F.col("closed_walk").cast("long").alias("closed_walk"))
+    return cycles.reachability(edges, starts, ONE_STRAND.max_cycle, K, scratch).select("edge", F.col("closed_walk").cast("long").alias("closed_walk"))
 
 
 def q_start_buckets(spark, sf_dir):
@@ -187,7 +183,6 @@ QUERIES: dict[str, Query] = {
     "invalidate": q_invalidate,
     "tips": lambda s, d: graph.tips(_document_edges(s, d)),
     "tip_reduction": q_tip_reduction,
-    "tip_reduction_all": q_tip_reduction_all,
     "start_candidates": lambda s, d: cycles.candidates(_edges(s, d), ONE_STRAND),
     "start_buckets": q_start_buckets,
     "reachability": q_reachability,
@@ -210,9 +205,9 @@ QUERIES: dict[str, Query] = {
 }
 
 _TO_DNA = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
-_PLANTED = f"""c AS (SELECT c_nationkey AS nk, c_custkey AS ck, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer),
-p AS (SELECT nk, ck, translate(md5('repeat:' || nk::VARCHAR), {_TO_DNA}) AS r, translate(md5('spacer:' || ck::VARCHAR), {_TO_DNA}) AS s FROM c WHERE rn <= 60),
-a AS (SELECT nk, any_value(r) || string_agg(s || r, '' ORDER BY ck) AS seq, count(*) AS n FROM p GROUP BY nk)"""
+_PLANTED = f"""c AS (SELECT c_nationkey AS nk, c_custkey AS ck, (c_custkey - 1) // 1500 AS block FROM customer),
+p AS (SELECT nk, block, ck, translate(md5('repeat:' || nk::VARCHAR || ':' || block::VARCHAR), {_TO_DNA}) AS r, translate(md5('spacer:' || ck::VARCHAR), {_TO_DNA}) AS s FROM c),
+a AS (SELECT nk, block, any_value(r) || string_agg(s || r, '' ORDER BY ck) AS seq, count(*) AS n FROM p GROUP BY nk, block)"""
 _RC = "reverse(translate(seq, 'ACGT', 'TGCA'))"
 _CUT = "SELECT substr(seq, i, 24) AS edge FROM (SELECT seq, unnest(range(1, length(seq) - 22)) AS i FROM {reads})"
 _COUNT = "SELECT edge, substr(edge, 1, 23) AS src, substr(edge, 2, 23) AS dst, count(*) AS mult FROM w GROUP BY edge"
@@ -232,8 +227,8 @@ _TRUTH = f"{_EDGES}, t AS (SELECT nk, r, s, substr(r, 1, 24) AS start, substr(r
 _NODES = "SELECT DISTINCT start, seq, i, substr(seq, i, 24) AS node FROM (SELECT start, seq, unnest(range(1, 65)) AS i FROM tm)"
 
 ORACLES: dict[str, str] = {
-    "planted_reads": f"WITH {_PLANTED} SELECT nk, seq, n FROM a",
-    "revcomp": f"WITH {_PLANTED} SELECT nk, {_RC} AS seq FROM a",
+    "planted_reads": f"WITH {_PLANTED} SELECT nk, block, seq, n FROM a",
+    "revcomp": f"WITH {_PLANTED} SELECT nk, block, {_RC} AS seq FROM a",
     "kmer_windows": f"WITH {_DOCS} SELECT doc_id, greatest(length(seq) - 23, 0)::BIGINT AS n_windows, CASE WHEN length(seq) >= 24 THEN substr(seq, 1, 24) END AS first_edge, CASE WHEN length(seq) >= 24 THEN right(seq, 24) END AS last_edge FROM d",
     "kmer_count": f"WITH {_EDGES} SELECT * FROM e",
     "kmer_count_both": f"WITH {_PLANTED}, reads AS (SELECT seq FROM a, range(8) UNION ALL SELECT {_RC} FROM a, range(8)), w AS ({_CUT.format(reads='reads')}) {_COUNT}",
@@ -250,7 +245,6 @@ ORACLES: dict[str, str] = {
     "ratio_neighbours": f"WITH {_EDGES}, {_STARTS} SELECT st.edge, e.edge AS next, e.mult AS next_mult FROM st JOIN e ON st.dst = e.src WHERE st.mult // e.mult <= 30 AND st.edge <> e.edge",
     "invalidate": f"WITH {_EDGES}, {_STARTS} SELECT * FROM e WHERE edge NOT IN (SELECT edge FROM st)",
     "tips": f"WITH {_DOC_EDGES} SELECT * FROM e WHERE dst NOT IN (SELECT src FROM e)",
-    "tip_reduction": f"WITH {_DOC_EDGES}, e1 AS (SELECT * FROM e WHERE dst IN (SELECT src FROM e)), e2 AS (SELECT * FROM e1 WHERE dst IN (SELECT src FROM e1)), e3 AS (SELECT * FROM e2 WHERE dst IN (SELECT src FROM e2)) SELECT * FROM e3",
     "start_candidates": f"WITH {_EDGES}, {_STARTS} SELECT * FROM st",
     "start_buckets": f"WITH {_EDGES}, {_STARTS} SELECT bucket, count(*) AS n_starts FROM st GROUP BY bucket",
     "reachability": f"""WITH RECURSIVE {_EDGES}, {_STARTS}, reach AS (SELECT edge AS start, src AS home, dst, 1 AS steps FROM st
@@ -274,8 +268,6 @@ z AS (SELECT * FROM m UNION ALL SELECT start, seq, 65 AS i, node, mult FROM m WH
 SELECT start, string_agg(substr(node, 1, 23), ' ' ORDER BY i) AS labels, string_agg(node, ' ' ORDER BY i) AS ids, string_agg(mult::VARCHAR, ' ' ORDER BY i) AS mults FROM z GROUP BY start, seq""",
     "rotate_left": """WITH x AS (SELECT p_partkey, string_split(p_type, ' ') AS w, p_size FROM part), y AS (SELECT p_partkey, w, (p_size % len(w))::BIGINT AS k FROM x)
 SELECT p_partkey, array_to_string(list_concat(w[k + 1:], w[:k]), ' ') AS rotated FROM y""",
-    "spaced_substrings": "",
-    "top_spaced_substring": "",
     "settings_report": """SELECT p_partkey AS run_id, 'ram' AS name, (p_retailprice > 1 AND p_retailprice <= 1200) AS ok, CASE WHEN p_retailprice > 1 AND p_retailprice <= 1200 THEN 'ok' ELSE 'must be above 1 byte and at most the total' END AS message FROM part
 UNION ALL SELECT p_partkey, 'threads', (p_size - 5 > 0 AND p_size - 5 <= 32), CASE WHEN p_size - 5 > 0 AND p_size - 5 <= 32 THEN 'ok' ELSE 'must be 1 to the number of cores' END FROM part""",
 }

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -41,18 +42,48 @@ def test_cycles_equal_a_depth_first_search(spark, seed):
     for start, nodes in got:
         assert nodes[0] == start and len(set(nodes)) == len(nodes)
         assert all(a[1:] == b[:-1] for a, b in zip(nodes, (*nodes[1:], start), strict=True))
-    walks = {r.edge: r.closed_walk for r in cycles.reachability(edges, starts, 14).collect()}
+    walks = {r.edge: r.closed_walk for r in cycles.reachability(edges, starts, 14, 4).collect()}
     shortest = {s: min(map(len, c)) for s in names if (c := brute.cycles(mults, s, 4, 2, 14, 10**9))}
     assert walks == shortest
 
 
-def test_truncated_starts_are_reported_and_have_no_cycles(spark):
+def test_truncated_starts_are_reported_and_keep_what_was_closed(spark):
     mults = {e: m for e, m in brute.edges(tangle(1), 4).items() if m > 1}
     edges = table(spark, mults)
+    starts = cycles.candidates(edges, SMALL)
+    every = {(r.start, tuple(r.nodes)) for r in cycles.bounded_cycles(edges, starts, SMALL)[0].collect()}
     few = Params(**{**SMALL.__dict__, "max_frontier": 1})
-    found, truncated = cycles.bounded_cycles(edges, cycles.candidates(edges, few), few)
+    found, truncated = cycles.bounded_cycles(edges, starts, few)
+    got = {(r.start, tuple(r.nodes)) for r in found.collect()}
     given_up = {r.start for r in truncated.collect()}
-    assert given_up and not given_up & {r.start for r in found.collect()}
+    assert given_up and got < every
+    assert {x for x in every if x[0] not in given_up} <= got
+
+
+def in_turn(rows, cap):
+    """The greedy choice, one start after the other."""
+    taken, kept = set(), []
+    for start, mult in sorted({(s, m) for s, m, _ in rows}, key=lambda x: (-x[1], x[0])):
+        own = [n for s, _, n in rows if s == start and taken.isdisjoint(n)]
+        if start not in taken and 0 < len(own) < cap:
+            kept += [(start, tuple(n)) for n in own]
+            taken.update(*own)
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_rounds_equal_turns(spark, seed):
+    """One component of many starts and cycles; nodes may be starts, multiplicities tie."""
+    rng = random.Random(seed)
+    names = [f"n{k:02}" for k in range(40 * (1 + seed))]
+    rows = []
+    for start in rng.sample(names, 24):
+        mult = rng.randrange(20, 30)
+        for _ in range(rng.randrange(1, 6)):
+            rows.append((start, mult, [start, *rng.sample([n for n in names if n != start], rng.randrange(1, 5))]))
+    found = spark.createDataFrame(rows, "start string, mult long, nodes array<string>")
+    got = cycles.greedy(found, Params(cycle_cap=5)).collect()
+    assert sorted((r.start, tuple(r.nodes)) for r in got) == in_turn(rows, 5)
 
 
 def loop(n, tail=""):
@@ -105,9 +136,8 @@ def test_greedy_takes_turns(spark):
 def test_tips(spark):
     edges = table(spark, {"ACGTA": 1, "CGTAC": 1, "GTACG": 1, "TACGT": 1, "GTACC": 1, "TACCA": 1, "ACCAT": 1})
     assert [r.edge for r in graph.tips(edges).collect()] == ["ACCAT"]
-    left = {r.edge for r in graph.reduce_tips(edges).collect()}
+    left = {r.edge for r in graph.reduce_tips(edges, 4).collect()}
     assert left == {"ACGTA", "CGTAC", "GTACG", "TACGT"}
-    assert graph.reduce_tips(edges, most_rounds=1).count() == 6
     assert graph.invalidate(edges, edges.limit(2)).count() == 5
 
 
@@ -128,7 +158,7 @@ def test_tips_go_to_the_last(spark, seed):
     seqs = [*tangle(seed), loop(40), dna(rng, 60) + loop(30), *[loop(40)[:20] + dna(rng, n) for n in (5, 90, 400)]]
     for k in (4, 9):
         mults = brute.edges(seqs, k)
-        got = {r.edge for r in graph.reduce_tips(table(spark, mults)).collect()}
+        got = {r.edge for r in graph.reduce_tips(table(spark, mults), k).collect()}
         assert got == without_tips(mults)
         assert k == 4 or len(got) < len(mults)
 
@@ -136,7 +166,7 @@ def test_tips_go_to_the_last(spark, seed):
 def test_registered_tip_reduction_goes_to_the_last(spark, monkeypatch):
     mults = brute.edges([dna(random.Random(6), 300), "AC" * 30], 9)
     monkeypatch.setattr(queries, "_document_edges", lambda *a: table(spark, mults))
-    assert {r.edge for r in queries.QUERIES["tip_reduction_all"](spark, "").collect()} == without_tips(mults) != set()
+    assert {r.edge for r in queries.QUERIES["tip_reduction"](spark, "").collect()} == without_tips(mults) != set()
 
 
 def test_components_of_random_graphs(spark):
@@ -233,6 +263,41 @@ def test_spaced_substrings(spark):
     assert top == {i: min(ok, key=lambda s, ok=ok: (-ok[s], s)) for i, ok in want.items()}
 
 
+def test_long_texts_take_one_pass(spark):
+    rng = random.Random(3)
+    seq = dna(rng, 100_000) + "N" + dna(rng, 100_000)
+    frame = spark.createDataFrame([(1, seq)], "id long, seq string")
+    began = time.perf_counter()
+    got = [r.edge for r in kmers.edge_windows(frame, 23).collect()]
+    assert got == [seq[i : i + 24] for i in range(len(seq) - 23) if "N" not in seq[i : i + 24]]
+    text = "ä😀" + seq[:60] + "😀ä"
+    rows = spark.createDataFrame([(1, text + text)], "id long, text string")
+    want = {text[i : i + 3] for i in range(len(text) - 2)}
+    assert want <= {r.substring for r in arrays.spaced_substrings(rows, 3, 3, 1, 200).collect()}
+    assert time.perf_counter() - began < 30
+
+
+def test_goals_and_edges_without_predecessor(spark):
+    mults = brute.edges(tangle(2), 4)
+    rng = random.Random(2)
+    inside = set(rng.sample(sorted(mults), len(mults) * 3 // 4))
+    pairs = [(rng.choice(sorted(mults)), rng.choice(sorted(mults))) for _ in range(40)]
+    want = {}
+    for a, b in set(pairs):
+        front, steps, seen = {a} & inside, 0, set()
+        while front and b not in front:
+            seen |= front
+            front, steps = {e for e in inside for f in front if f[1:] == e[:-1]} - seen, steps + 1
+        if front:
+            want[a, b] = steps
+    edges = table(spark, mults)
+    got = graph.goal_walks(edges, spark.createDataFrame(pairs, "start string, goal string"), edges.filter(F.col("edge").isin(*inside)))
+    assert {(r.start, r.goal): r.steps for r in got.collect()} == want and want
+    assert {r.edge for r in graph.without_predecessor(edges).collect()} == {e for e in mults if e[:-1] not in {x[1:] for x in mults}}
+    near = {(r.edge, r.previous) for r in graph.ratio_predecessors(edges, edges, 2).collect()}
+    assert near == {(a, b) for a in mults for b in mults if a != b and b[1:] == a[:-1] and mults[a] // mults[b] <= 2}
+
+
 def test_degrees_and_neighbours(spark):
     mults = brute.edges(tangle(4), 4)
     edges = table(spark, mults)
