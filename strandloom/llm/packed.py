@@ -14,7 +14,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]))
 
 
-_KINDS = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.int32, np.int64, np.uint64)}
+_KINDS = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.int32, np.int64, np.uint32, np.uint64)}
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
