@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm import packed as P
 from strandloom.llm import textkernels as K
 from strandloom.numbering import gapless
 from strandloom.scratch import Scratch, shuffle_partitions
@@ -27,6 +28,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Distinct units whose ids a worker keeps, and slots of its table as a power of two.
 CACHED, SLOT_BITS = 3_000_000, 23
+#: Units that a table may hold at most, all of its slots being searched one after another.
+MOST_UNITS = 6_000_000
 
 #: Classes of bytes: white space, ASCII letter, ASCII punctuation, everything else (digits, apostrophe, controls, high bytes).
 _SPACE, _LETTER, _PUNCT, _OTHER = range(4)
@@ -66,7 +69,8 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Ids:
     """Token ids of whole texts, by the tokenizer of a vocabulary file that drops white space and lower-cases.
 
-    Ids of units are kept in a hash table of arrays under a 64-bit hash, CACHED units at most; then it starts anew.
+    Ids of units are kept in a hash table of arrays under a 64-bit hash, CACHED units at most; then it starts anew. Each
+    unit's bytes are kept too and compared at every use; one that has another's hash goes to the tokenizer each time.
     """
 
     def __init__(self, path: str):
@@ -76,16 +80,19 @@ class Ids:
         self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids
         self._clear()
 
-    def _clear(self) -> None:
-        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+    def _clear(self, slot_bits: int = SLOT_BITS) -> None:
+        self.slot_bits = slot_bits
+        self.slots = np.full(1 << slot_bits, -1, np.int32)
         self.keys = np.empty(1 << 12, np.uint64)
         self.at = np.zeros((1 << 12) + 1, np.int64)
         self.flat = np.empty(1 << 14, np.uint32)
+        self.body_at = np.zeros((1 << 12) + 1, np.int64)
+        self.body = np.empty(1 << 14, np.uint8)
         self.n = 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
-        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot = (h >> np.uint64(64 - self.slot_bits)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
             held = self.slots[slot[left]]
@@ -93,32 +100,47 @@ class Ids:
             same = self.keys[held] == h[left]
             out[left[same]] = held[same]
             left = left[~same]
-            slot[left] = (slot[left] + 1) & ((1 << SLOT_BITS) - 1)
+            slot[left] = (slot[left] + 1) & ((1 << self.slot_bits) - 1)
         return out
 
-    def _add(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
+    def _add(self, h: np.ndarray, ids: list[np.ndarray], strings: list[bytes]) -> None:
         m = self.n + len(h)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        end = int(self.at[self.n])
         while len(self.keys) < m:
             self.keys = np.concatenate([self.keys, np.empty_like(self.keys)])
-            self.at = np.concatenate([self.at, np.zeros(len(self.at) - 1, np.int64)])
-        while len(self.flat) < end + sizes.sum():
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            self.at, self.body_at = (np.concatenate([x, np.zeros(len(x) - 1, np.int64)]) for x in (self.at, self.body_at))
         self.keys[self.n : m] = h
-        self.at[self.n + 1 : m + 1] = end + np.cumsum(sizes)
-        if ids:
-            self.flat[end : end + sizes.sum()] = np.concatenate(ids)
+        self.flat = self._put(self.at, self.flat, [len(x) for x in ids], np.concatenate(ids))
+        self.body = self._put(self.body_at, self.body, [len(x) for x in strings], np.frombuffer(b"".join(strings), np.uint8))
         own = np.arange(self.n, m, dtype=np.int32)
-        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot = (h >> np.uint64(64 - self.slot_bits)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
             free = left[self.slots[slot[left]] < 0]
             self.slots[slot[free]] = own[free]
             left = left[self.slots[slot[left]] != own[left]]
-            slot[left] = (slot[left] + 1) & ((1 << SLOT_BITS) - 1)
+            slot[left] = (slot[left] + 1) & ((1 << self.slot_bits) - 1)
         self.n = m
 
+    def _put(self, at: np.ndarray, flat: np.ndarray, sizes: list[int], values: np.ndarray) -> np.ndarray:
+        """`flat`, grown if need be, with the values of new units; `at` gets their ends."""
+        end = int(at[self.n])
+        while len(flat) < end + len(values):
+            flat = np.concatenate([flat, np.empty_like(flat)])
+        flat[end : end + len(values)] = values
+        at[self.n + 1 : self.n + len(sizes) + 1] = end + np.cumsum(np.array(sizes, np.int64))
+        return flat
+
+    def _same(self, index: np.ndarray, bytes_: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which of the spans are the bytes of the units that they were taken for."""
+        own, sizes = self.body_at[index], ends - starts
+        same = self.body_at[index + 1] - own == sizes
+        at = np.flatnonzero(same)
+        sizes = sizes[at]
+        if len(at):
+            differ = bytes_[P.ragged(starts[at], sizes)] != self.body[P.ragged(own[at], sizes)]
+            same[at] = np.add.reduceat(differ, np.cumsum(sizes) - sizes, dtype=np.int64) == 0
+        return same
+
     def _encode(self, strings: list[bytes], letters: np.ndarray) -> list[np.ndarray]:
         """Strings of letters go in long lines with a bar between; its one id tells their ids apart."""
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(strings)
@@ -146,19 +168,36 @@ class Ids:
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         h = K.mixed(K.span_hashes(bytes_, starts, ends) + (ends - starts).astype(np.uint64))
         distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if self.n + len(distinct) > MOST_UNITS:
+            # a text of very many units, on a table of its own size
+            fresh = Ids.__new__(Ids)
+            fresh.tokenizer, fresh.bar = self.tokenizer, self.bar
+            fresh._clear(max(SLOT_BITS, (2 * len(distinct)).bit_length()))
+            return fresh._of(starts, ends, letters, bytes_, distinct, first, inverse, offsets)
+        return self._of(starts, ends, letters, bytes_, distinct, first, inverse, offsets)
+
+    def _of(self, starts, ends, letters, bytes_, distinct, first, inverse, offsets) -> tuple[np.ndarray, np.ndarray]:
         index = self._find(distinct)
         new = np.flatnonzero(index < 0)
         if len(new):
             where = first[new]
             strings = [bytes_[s:e].tobytes() for s, e in zip(starts[where], ends[where], strict=True)]
             begun = self.n
-            self._add(distinct[new], self._encode(strings, letters[where]))
+            self._add(distinct[new], self._encode(strings, letters[where]), strings)
             index[new] = np.arange(begun, self.n)
         index = index[inverse]
-        source = self.at[index]
+        source, flat = self.at[index], self.flat
         sizes = self.at[index + 1] - source
+        other = np.flatnonzero(~self._same(index, bytes_, starts, ends))
+        if len(other):
+            # another string of the same hash
+            found = self._encode([bytes_[s:e].tobytes() for s, e in zip(starts[other], ends[other], strict=True)], letters[other])
+            end = int(self.at[self.n])
+            flat = np.concatenate([flat[:end], *found])
+            sizes[other] = [len(x) for x in found]
+            source[other] = end + np.cumsum(sizes[other]) - sizes[other]
         before = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(before[-1]) + np.repeat(source - before[:-1], sizes)]
+        ids = flat[np.arange(before[-1]) + np.repeat(source - before[:-1], sizes)]
         return ids, before[np.searchsorted(starts, offsets)]
 
 

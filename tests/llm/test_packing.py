@@ -45,6 +45,42 @@ def test_known_units_start_anew(monkeypatch):
             assert ids.tolist() == brute_ids(text)
 
 
+def thue_morse(bits):
+    out = "a"
+    for _ in range(bits):
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    """Strings on which every polynomial hash modulo 2**64 agrees; and all strings, under a hash of two values."""
+    swap = str.maketrans("ab", "ba")
+    for bits in (10, 11):
+        one = thue_morse(bits)
+        for text in (one, one.translate(swap), f"{one} {one.translate(swap)} {one}"):
+            ids, _ = (model := P.Ids(PATH) if text == one else model).of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+            assert ids.tolist() == brute_ids(text)
+    monkeypatch.setattr(K, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(2))
+    model = P.Ids(PATH)
+    for text in ("one two three four.", "four three, two one é漢 It's", "one two three four."):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert model.of(raw, np.array([0, len(raw)]))[0].tolist() == brute_ids(text)
+
+
+def test_text_of_more_units_than_a_table_holds(monkeypatch):
+    monkeypatch.setattr(P, "MOST_UNITS", 20)
+    model = P.Ids(PATH)
+    for text in ("one two three", " ".join(f"w{k} x{k}" for k in range(300)), "three four"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert model.of(raw, np.array([0, len(raw)]))[0].tolist() == brute_ids(text)
+
+
+def test_rows_without_an_id_stay(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None)], "doc_id long, text string")
+    out = P.pack(docs, PATH).collect()
+    assert sorted((r.doc_id is None, r.length) for r in out) == [(False, 1), (True, 3), (True, 3)]
+
+
 @pytest.mark.parametrize("capacity", [1, 7, 64, 4096])
 def test_plan_uses_every_length_once_and_few_sequences(capacity):
     rng = random.Random(capacity)
