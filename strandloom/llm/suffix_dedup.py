@@ -12,6 +12,10 @@ offsets, and all windows of one anchor form one string, its segment.
    only what is still tied), and equal neighbours share the smallest document.
 3. Runs of removed bytes go back to their documents.
 
+A token of very many suffixes would fill one range with segments that differ only around a common passage. Such tokens are
+listed in step 1, a bounded number from each range; in step 2 each window of theirs is a segment of its own, dealt by its
+own hash. What lies inside the passage is then equal within a batch, and the rest is spread over all ranges.
+
 Rows between the steps are arrays of one range packed into a binary value, so a shuffle moves few, dense rows. Segments
 that are equal within a batch travel once: all but the smallest document's are decided on the spot, which keeps a
 passage of very many documents from piling up in one range.
@@ -37,6 +41,8 @@ from strandloom.scratch import Scratch, release, shuffle_partitions
 LENGTH, SEED = 50, 20
 #: Ranges and document bins for each shuffle partition; documents and suffixes of each sampled for the splitters.
 RANGES, SAMPLED_DOCS, SAMPLED_SUFFIXES = 2, 8, 16
+#: A token is hot if it has so many suffixes of a range, and one of this many parts of them: a range has HOT_PARTS at most.
+HOT_SUFFIXES, HOT_PARTS = 1000, 16
 _PLACE_BITS = 20
 _LONG = 1 << 19
 #: Bytes of text worked on before rows are passed on, and windows of one range sorted at a time (tokens stay whole).
@@ -112,16 +118,18 @@ def _suffixes(length: int, splits: Broadcast | None):
     return run
 
 
-def _shared(bins: int):
-    """Range by range: suffixes whose token is met in two documents, or touches an edge; as blobs (id, place) by document bin."""
+def _shared(bins: int, hot_suffixes: int):
+    """Range by range: suffixes whose token is met in two documents, or touches an edge; as blobs (id, place) by document bin.
+    And the range's hot tokens."""
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    def found(batches: Iterator[pa.RecordBatch], hot: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
         for _, blobs in P.groups(batches):
             token, ids, place = P.joined(blobs)
             order = np.lexsort((ids, token))
             token, ids, place = token[order], ids[order], place[order]
             cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(np.concatenate([cuts, [len(token)]]))
+            hot.append(token[cuts[size >= max(hot_suffixes, len(token) // HOT_PARTS)]])
             keep = ids[cuts] != ids[cuts + size - 1]
             keep[0] = keep[-1] = True
             keep = np.repeat(keep, size)
@@ -129,12 +137,15 @@ def _shared(bins: int):
             yield P.doc_bin(ids, bins), ids, place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from P.gathered(found(batches), 0)
+        hot: list[np.ndarray] = []
+        yield from P.gathered(found(batches, hot), 0)
+        if sum(map(len, hot)):
+            yield P.blob_rows([(_HOT, 0, P.pack(np.concatenate(hot)))])
 
     return run
 
 
-_SEGMENTS, _SPANS = 1, 2
+_SEGMENTS, _SPANS, _HOT = 1, 2, 3
 _OUT = "_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
 _OUT_ARROW = pa.schema(
     [("_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())]
@@ -151,7 +162,7 @@ def _done(doc: int | None, raw: bytes, spans: list[list[int]], with_bytes: bool)
     return row | {"kept": kept if with_bytes else None}
 
 
-def _segments(length: int, ranges: int, bins: int):
+def _segments(length: int, ranges: int, bins: int, hot: Broadcast):
     """Blobs of a document bin come first, then its texts: their segments at kept anchors, by range, and the spans that are decided here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +220,17 @@ def _segments(length: int, ranges: int, bins: int):
         if not len(token):
             return P.blob_rows([])
         ends = np.cumsum(size)
+        if len(hot.value) and (wide := np.isin(token, hot.value)).any():
+            # each window of a hot token is a segment; windows of all others stay together
+            counts = np.where(wide, size - length + 1, 1)
+            inside = P.ragged(np.zeros(len(size), np.int64), counts)
+            begin = np.repeat(ends - size, counts) + inside
+            one = np.repeat(wide, counts)
+            size, start = np.where(one, length, np.repeat(size, counts)), np.repeat(start, counts) + inside
+            body = body[P.ragged(begin, size)]
+            ends = np.cumsum(size)
+            token, doc, mark = (np.repeat(x, counts) for x in (token, doc, mark))
+            token[one] = K.mixed(K.span_hashes(body, ends - size, ends)[one] ^ K.mixed(token[one]))
         whole = K.span_hashes(body, ends - size, ends)
         order = np.lexsort((doc, whole, token))
         new = np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (whole[order][1:] != whole[order][:-1])])
@@ -218,7 +240,7 @@ def _segments(length: int, ranges: int, bins: int):
         here = ~go
         blobs = [(_SPANS, b, P.pack(*x)) for b, x in P.dealt(P.doc_bin(doc[here], bins), doc[here], mark[here], start[here], start[here] + size[here])]
         edges = np.uint64(((1 << 64) - 1) // ranges + 1)
-        for b, (rows_,) in P.dealt((token[go] // edges).astype(np.int64), np.flatnonzero(go)):
+        for b, (rows_,) in P.dealt((K.mixed(token[go]) // edges).astype(np.int64), np.flatnonzero(go)):
             s = size[rows_]
             packed = body[P.ragged(ends[rows_] - s, s)]
             blobs.append((_SEGMENTS, b, P.pack(token[rows_], doc[rows_], mark[rows_], start[rows_], s, packed)))
@@ -250,13 +272,14 @@ def _spans_of(length: int, bins: int):
     """Range by range: segments of a token against each other; spans as blobs (id, mark, start, end) by document bin.
     Spans that come along go on as they are."""
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segments(batches: Iterator[pa.RecordBatch], mixed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come segments first: ends with the first batch that has spans, whose spans are put aside."""
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
-            passed.append(batch.filter(pa.array(kinds == _SPANS)))
             yield batch.filter(pa.array(kinds == _SEGMENTS))
-
-    passed: list[pa.RecordBatch] = []
+            if (kinds == _SPANS).any():
+                mixed.append(batch.filter(pa.array(kinds == _SPANS)))
+                return
 
     def least_of_windows(body: np.ndarray, at: np.ndarray, counts: np.ndarray, token: np.ndarray, least: np.ndarray) -> np.ndarray:
         """For each window of the segments that start at `at`: the smallest document with an equal window."""
@@ -271,7 +294,7 @@ def _spans_of(length: int, bins: int):
         return first[group]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for _, blobs in P.groups(segments(batches)):
+        for _, blobs in P.groups(batches):
             token, doc, mark, start, size, body = P.joined(blobs)
             at = np.cumsum(size) - size
             whole = K.span_hashes(body, at, at + size)
@@ -312,8 +335,10 @@ def _spans_of(length: int, bins: int):
             yield P.doc_bin(doc, bins), doc, mark, a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from P.gathered(found(batches), _SPANS)
-        yield from passed
+        mixed: list[pa.RecordBatch] = []
+        yield from P.gathered(found(segments(batches, mixed)), _SPANS)
+        yield from mixed
+        yield from batches
 
     return run
 
@@ -349,13 +374,13 @@ def _removed(with_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_bytes: bool = False, hot_suffixes: int = HOT_SUFFIXES) -> DataFrame:
     """One row (id, n_bytes, spans, kept_sha256[, kept]) per row of `docs`; other columns are not carried.
 
     spans: maximal runs of removed bytes, (start, end) in the UTF-8 text; a byte is removed if some string of `length`
     bytes that covers it also starts in a document of a smaller id, as judged on the input. Matches never cross
     documents. A null text is empty. Rows without an id lose nothing and count for no other; rows of equal ids do not
-    count as earlier than each other; no rows give none. Ids are integers.
+    count as earlier than each other; no rows give none. Ids are integers. hot_suffixes only spreads work.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -370,14 +395,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     splits = spark.sparkContext.broadcast((np.array([p[0] for p in picked], np.uint64), np.array([p[1] for p in picked], np.int64)))
 
     suffixes = named.mapInArrow(_suffixes(length, splits), P.BLOB).repartition(parts, "bin").sortWithinPartitions("bin")
-    shared = scratch.keep(suffixes.mapInArrow(_shared(bins), P.BLOB), "shared")
+    shared = scratch.keep(suffixes.mapInArrow(_shared(bins, hot_suffixes), P.BLOB), "shared")
     release(spark)
 
     place = F.coalesce(F.pmod(F.col("_id").bitwiseXOR(F.shiftright("_id", 17)), F.lit(bins)), F.pmod(F.xxhash64("_text"), F.lit(bins))).cast("int")
     texts = rows.select(place.alias("bin"), F.lit(None).cast("binary").alias("blob"), "_id", "_text")
     blobs = lambda frame: frame.select("bin", "blob", F.lit(None).cast("long").alias("_id"), F.lit(None).cast("binary").alias("_text"))
-    met = blobs(shared).unionByName(texts).repartition(parts, "bin").sortWithinPartitions("bin", F.col("blob").isNull())
-    by_range = met.mapInArrow(_segments(length, ranges, bins), P.BLOB).repartition(parts, "bin").sortWithinPartitions("kind", "bin")
+    listed = [P.unpack(bytes(r["blob"]))[0] for r in shared.filter(F.col("kind") == _HOT).collect()]
+    hot = spark.sparkContext.broadcast(np.unique(np.concatenate(listed)) if listed else np.empty(0, np.uint64))
+    met = blobs(shared.filter(F.col("kind") != _HOT)).unionByName(texts).repartition(parts, "bin").sortWithinPartitions("bin", F.col("blob").isNull())
+    by_range = met.mapInArrow(_segments(length, ranges, bins, hot), P.BLOB).repartition(parts, "bin").sortWithinPartitions("kind", "bin")
     spans = scratch.keep(by_range.mapInArrow(_spans_of(length, bins), P.BLOB), "spans")
     scratch.drop(shared)
     release(spark)

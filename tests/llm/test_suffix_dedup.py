@@ -28,9 +28,9 @@ def brute(rows, length):
     return out
 
 
-def check(spark, rows, length=50):
+def check(spark, rows, length=50, **more):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = S.remove_repeats(frame, length=length).collect()
+    got = S.remove_repeats(frame, length=length, **more).collect()
     seen = sorted((str(r.doc_id), r.n_bytes, [(s.start, s.end) for s in r.spans], r.kept_sha256) for r in got)
     assert seen == sorted((str(i), *b) for (i, _), b in zip(rows, brute(rows, length), strict=True))
     return got
@@ -50,6 +50,16 @@ def test_against_brute_force(spark):
     check(spark, rows, 30)
 
 
+def test_hot_tokens_are_spread(spark):
+    """A passage of half of all documents, between words of their own; each of its tokens is hot."""
+    rng = random.Random(18)
+    hot = prose(rng, 20)
+    rows = [(k * 5 - 300, f"{prose(rng, rng.randrange(9))} {hot if k % 2 else ''} {prose(rng, rng.randrange(9))}") for k in range(150)]
+    rows += [(3, rows[1][1]), (None, hot), (7, hot[5:-5])]
+    for least in (2, 40, 1000):
+        check(spark, rows, hot_suffixes=least)
+
+
 def test_small_alphabet_and_periods(spark):
     rng = random.Random(4)
     rows = [(k, "".join(rng.choice("ab") for _ in range(rng.randrange(300)))) for k in range(30)]
