@@ -9,9 +9,9 @@ import pyarrow as pa
 import zstandard
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     head = np.array([len(arrays), *[x for a in arrays for x in (len(a), np.dtype(a.dtype).num)]], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([head.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]))
 
 
 _KINDS = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.int32, np.int64, np.uint32, np.uint64)}

@@ -43,6 +43,8 @@ LENGTH, SEED = 50, 20
 RANGES, SAMPLED_DOCS, SAMPLED_SUFFIXES = 2, 8, 16
 #: A token is hot if it has so many suffixes of a range, and one of this many parts of them: a range has HOT_PARTS at most.
 HOT_SUFFIXES, HOT_PARTS = 1000, 16
+#: Compression of segments, which overlap each other.
+SEGMENT_LEVEL = 6
 _PLACE_BITS = 20
 _LONG = 1 << 19
 #: Bytes of text worked on before rows are passed on, and windows of one range sorted at a time (tokens stay whole).
@@ -243,7 +245,7 @@ def _segments(length: int, ranges: int, bins: int, hot: Broadcast):
         for b, (rows_,) in P.dealt((K.mixed(token[go]) // edges).astype(np.int64), np.flatnonzero(go)):
             s = size[rows_]
             packed = body[P.ragged(ends[rows_] - s, s)]
-            blobs.append((_SEGMENTS, b, P.pack(token[rows_], doc[rows_], mark[rows_], start[rows_], s, packed)))
+            blobs.append((_SEGMENTS, b, P.pack(token[rows_], doc[rows_], mark[rows_], start[rows_], s, packed, level=SEGMENT_LEVEL)))
         return P.blob_rows(blobs)
 
     return run
@@ -404,7 +406,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     listed = [P.unpack(bytes(r["blob"]))[0] for r in shared.filter(F.col("kind") == _HOT).collect()]
     hot = spark.sparkContext.broadcast(np.unique(np.concatenate(listed)) if listed else np.empty(0, np.uint64))
     met = blobs(shared.filter(F.col("kind") != _HOT)).unionByName(texts).repartition(parts, "bin").sortWithinPartitions("bin", F.col("blob").isNull())
-    by_range = met.mapInArrow(_segments(length, ranges, bins, hot), P.BLOB).repartition(parts, "bin").sortWithinPartitions("kind", "bin")
+    by_range = met.mapInArrow(_segments(length, parts + 1, bins, hot), P.BLOB).repartition(parts, "bin").sortWithinPartitions("kind", "bin")
     spans = scratch.keep(by_range.mapInArrow(_spans_of(length, bins), P.BLOB), "spans")
     scratch.drop(shared)
     release(spark)
