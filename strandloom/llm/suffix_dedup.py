@@ -190,7 +190,7 @@ def _segments(length: int, ranges: int, bins: int, hot: Broadcast):
                 own = batch.column("_id").slice(a, b - a).to_pylist()
                 for i, j in K.blocks(offsets, _FLUSH):
                     parts += _found(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], own[i:j], ids, places)
-                    if sum(len(p[-1]) for p in parts) >= 4 * _FLUSH:
+                    if sum(len(p[-1]) for p in parts) >= 2 * _FLUSH:
                         yield _sent(parts)
                         parts = []
         if parts:
@@ -213,6 +213,13 @@ def _segments(length: int, ranges: int, bins: int, hot: Broadcast):
             number = ((i + text) << 40) | (place - at[text] + base)
             ok = kept[np.minimum(np.searchsorted(kept, number), len(kept) - 1)] == number
             text, first, last, token = text[ok], first[ok], last[ok], token[ok]
+            if len(hot.value) and (wide := np.isin(token, hot.value)).any():
+                # each window of a hot token is a segment; windows of all others stay together
+                counts = np.where(wide, last - first + 1, 1)
+                one = np.repeat(wide, counts)
+                first = P.ragged(first, counts)
+                text, last, token = np.repeat(text, counts), np.where(one, first, np.repeat(last, counts)), np.repeat(token, counts)
+                token[one] = K.mixed(K.span_hashes(piece, first[one], first[one] + length) ^ K.mixed(token[one]))
             sizes = last + length - first
             parts.append((token, own[i + text], marks[i + text], first - at[text] + base, sizes, piece[P.ragged(first, sizes)]))
         return parts
@@ -222,17 +229,6 @@ def _segments(length: int, ranges: int, bins: int, hot: Broadcast):
         if not len(token):
             return P.blob_rows([])
         ends = np.cumsum(size)
-        if len(hot.value) and (wide := np.isin(token, hot.value)).any():
-            # each window of a hot token is a segment; windows of all others stay together
-            counts = np.where(wide, size - length + 1, 1)
-            inside = P.ragged(np.zeros(len(size), np.int64), counts)
-            begin = np.repeat(ends - size, counts) + inside
-            one = np.repeat(wide, counts)
-            size, start = np.where(one, length, np.repeat(size, counts)), np.repeat(start, counts) + inside
-            body = body[P.ragged(begin, size)]
-            ends = np.cumsum(size)
-            token, doc, mark = (np.repeat(x, counts) for x in (token, doc, mark))
-            token[one] = K.mixed(K.span_hashes(body, ends - size, ends)[one] ^ K.mixed(token[one]))
         whole = K.span_hashes(body, ends - size, ends)
         order = np.lexsort((doc, whole, token))
         new = np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (whole[order][1:] != whole[order][:-1])])
