@@ -3,12 +3,18 @@
 Each rule's cost and selectivity are measured on a bounded sample; rules then run in the order of rejections per cost
 inside one CASE expression, which Spark evaluates only until the first rule that rejects. A document's verdict is the
 same in any order: it is kept if no rule rejects it.
+
+Where only the verdict is wanted, a rule computes its own counts inside the CASE, so what comes after the first rejection
+is never computed; where the counts are wanted too, those that are columns are read and the rest is computed there.
 """
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +25,47 @@ _WORD_CLASS = r"[^\x20\x09-\x0D]"
 _OTHER_THAN_SYMBOLS = r"[^#*$%&|<>]+"
 
 
+@dataclass(frozen=True)
+class Counts:
+    """What rules judge by: each is an expression over the text and its words, or a column that holds it already."""
+
+    text: Column
+    words: Column
+    window: int
+    held: frozenset[str] = frozenset()
+
+    def _get(self, name: str, make: Callable[[], Column]) -> Column:
+        return F.col(name) if name in self.held else make()
+
+    @property
+    def n_words(self) -> Column:
+        return self._get("n_words", lambda: F.size(self.words).cast("long"))
+
+    @property
+    def word_chars(self) -> Column:
+        return self._get("word_chars", lambda: F.length(F.array_join(self.words, "")).cast("long"))
+
+    @property
+    def n_symbols(self) -> Column:
+        return self._get("n_symbols", lambda: F.length(F.regexp_replace(self.text, _OTHER_THAN_SYMBOLS, "")).cast("long"))
+
+    @property
+    def n_repeat_words(self) -> Column:
+        return self._get("n_repeat_words", lambda: repeat_words(self.words, self.window).cast("long"))
+
+    def dup_lines(self, body: Callable[[Column, Column], Column]) -> Column:
+        """body(number of lines with a word, number of those equal to an earlier one)."""
+        if "n_dup_lines" in self.held:
+            return body(F.col("_n_lines"), F.col("n_dup_lines"))
+        return _let(_lines(self.text), lambda x: body(F.size(x), F.size(x) - F.size(F.array_distinct(x))))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where `rejects` (a column over the statistics or the text) is true; null does not reject."""
+    """Rejects a text where `rejects` (a column made from its counts) is true; null does not reject."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Counts], Column]
 
 
 @dataclass(frozen=True)
@@ -41,8 +82,9 @@ class QualityParams:
     max_upper_fraction: float = 0.6
     #: Words equal to the one before them.
     max_stutter_fraction: float = 0.3
-    #: Rows on which cost and selectivity are estimated, and the least times a rule is timed.
+    #: Rows on which cost and selectivity are estimated, and how often a rule is timed.
     sample_rows: int = 1000
+    timings: int = 3
 
 
 def _let(value: Column, body) -> Column:
@@ -50,6 +92,14 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, _SPACE_CLASS, -1), lambda w: w != "")
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(_WORD_CLASS))
+
+
 def repeat_words(words: Column, window: int) -> Column:
     """Words inside windows that are found twice or more in the text.
 
@@ -93,85 +143,106 @@ def stutter(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text", params: QualityParams = QualityParams()) -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the cascade's own counts."""
+    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the cascade's _words and _n_lines."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("_words", F.filter(F.split(text, _SPACE_CLASS, -1), lambda w: w != ""))
-    out = out.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(_WORD_CLASS)))
+    out = docs.withColumn("_words", _words(text)).withColumn("_lines", _lines(text))
+    counts = Counts(text, F.col("_words"), params.window)
     return out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(text, _OTHER_THAN_SYMBOLS, "")).cast("long"),
+            "n_words": counts.n_words,
+            "word_chars": counts.word_chars,
+            "n_symbols": counts.n_symbols,
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeat_words(F.col("_words"), params.window).cast("long"),
+            "n_repeat_words": counts.n_repeat_words,
             "_n_lines": F.size("_lines"),
-            "_row": F.monotonically_increasing_id(),
         }
     ).drop("_lines")
 
 
+#: Columns that `statistics` leaves for the rules.
+HELD = frozenset(["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+
+
 def base_rules(params: QualityParams = QualityParams()) -> list[Rule]:
     return [
-        Rule("few_words", F.col("n_words") < params.min_words),
-        Rule("repeats", F.col("n_repeat_words") * 100 > F.col("n_words") * params.max_repeat_percent),
+        Rule("few_words", lambda c: c.n_words < params.min_words),
+        Rule("repeats", lambda c: c.n_repeat_words * 100 > c.n_words * params.max_repeat_percent),
     ]
 
 
-def method_rules(params: QualityParams = QualityParams(), text_col: str = "text") -> list[Rule]:
-    """Rules over the counts are cheap; the last three read the text's characters or words again."""
-    mean = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    digits = F.length(F.regexp_replace(text, r"[^0-9]+", ""))
-    upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
+def method_rules(params: QualityParams = QualityParams()) -> list[Rule]:
+    mean = lambda c: c.word_chars / F.greatest(c.n_words, F.lit(1))
+    digits = lambda c: F.length(F.regexp_replace(c.text, r"[^0-9]+", ""))
+    upper = lambda c: F.length(F.regexp_replace(c.text, r"[^\p{Lu}]+", ""))
     return [
-        Rule("symbols", F.col("n_symbols") > F.col("n_words") * params.max_symbols_per_word),
-        Rule("dup_lines", F.col("n_dup_lines") > F.col("_n_lines") * params.max_dup_line_fraction),
-        Rule("short_words", mean < params.min_mean_word),
-        Rule("long_words", mean > params.max_mean_word),
-        Rule("digits", digits > F.col("word_chars") * params.max_digit_fraction),
-        Rule("shouting", upper > F.col("word_chars") * params.max_upper_fraction),
-        Rule("stutter", stutter(F.col("_words")) > F.col("n_words") * params.max_stutter_fraction),
+        Rule("symbols", lambda c: c.n_symbols > c.n_words * params.max_symbols_per_word),
+        Rule("dup_lines", lambda c: c.dup_lines(lambda n, same: same > n * params.max_dup_line_fraction)),
+        Rule("short_words", lambda c: mean(c) < params.min_mean_word),
+        Rule("long_words", lambda c: mean(c) > params.max_mean_word),
+        Rule("digits", lambda c: digits(c) > c.word_chars * params.max_digit_fraction),
+        Rule("shouting", lambda c: upper(c) > c.word_chars * params.max_upper_fraction),
+        Rule("stutter", lambda c: stutter(c.words) > c.n_words * params.max_stutter_fraction),
     ]
 
 
-def _rejects(rule: Rule) -> Column:
-    return F.coalesce(rule.rejects, F.lit(False))
+def _rejects(rule: Rule, counts: Counts) -> Column:
+    return F.coalesce(rule.rejects(counts), F.lit(False))
+
+
+def _of_text(text: Column, params: QualityParams, body: Callable[[Counts], Column]) -> Column:
+    """body over the counts of a text, its words computed once; nothing else is computed unless body asks for it."""
+    return _let(F.coalesce(text, F.lit("")), lambda t: _let(_words(t), lambda w: body(Counts(t, w, params.window))))
+
+
+#: Costs are told apart by powers of two of so many seconds, so that the noise of a timing seldom changes the order.
+COST_UNIT = 0.004
+
+
+def rated(names: list[str], rejected: list[float], seconds: list[float]) -> list[str]:
+    """Names by rejections per cost, most first; of equals, as given."""
+    cost = [2.0 ** max(0, round(math.log2(max(s, COST_UNIT) / COST_UNIT))) for s in seconds]
+    return [names[k] for k in sorted(range(len(names)), key=lambda k: (-(rejected[k] + 1e-4) / cost[k], k))]
 
 
 def plan_cascade(docs: DataFrame, rules: list[Rule], params: QualityParams = QualityParams(), text_col: str = "text") -> list[Rule]:
     """Rules by rejections per cost, most first, as measured on a sample of about params.sample_rows rows of `docs`.
 
-    Cost: seconds of one pass over the cached sample's statistics that evaluates the rule, less those of an empty pass.
-    The sample decides the order only; with an empty sample the order is as given.
+    Cost: the median of params.timings passes over the sample's texts that compute what the rule needs from the text,
+    less that of passes that only cut the words, which all rules share. The sample decides the order only; with an empty
+    sample the order is as given.
     """
     rows = docs.count()
     if not rows or len(rules) < 2:
         return list(rules)
-    sampled = docs.select(text_col).sample(min(1.0, params.sample_rows / rows), 11).limit(2 * params.sample_rows).repartition(2)
-    columns = statistics(sampled, text_col, params).cache()
+    sampled = docs.select(F.col(text_col).alias("_text")).sample(min(1.0, params.sample_rows / rows), 11).limit(2 * params.sample_rows).repartition(2).cache()
+    verdict = lambda rule: _of_text(F.col("_text"), params, lambda c: _rejects(rule, c))
     try:
-        seen = columns.agg(F.count("*").alias("n"), *[F.sum(_rejects(r).cast("long")).alias(f"r{k}") for k, r in enumerate(rules)]).first()
+        seen = sampled.agg(F.count("*").alias("n"), *[F.sum(verdict(r).cast("long")).alias(f"r{k}") for k, r in enumerate(rules)]).first()
         if not seen["n"]:
             return list(rules)
 
         def seconds(value: Column) -> float:
-            began = time.perf_counter()
-            columns.agg(F.sum(value.cast("long"))).first()
-            return time.perf_counter() - began
-
-        floor = seconds(F.lit(True))
-        cost = [max(seconds(_rejects(r)) - floor, 1e-4) for r in rules]
-        gain = [(seen[f"r{k}"] / seen["n"] + 1e-6) / cost[k] for k in range(len(rules))]
-        return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-gain[k], k))]
+            frame, took = sampled.agg(F.sum(value.cast("long"))), []
+            for _ in range(params.timings):
+                began = time.perf_counter()
+                frame.collect()
+                took.append(time.perf_counter() - began)
+            return median(took)
+
+        words = _of_text(F.col("_text"), params, lambda c: F.size(c.words) > 0)
+        seconds(words)
+        floor = seconds(words)
+        order = rated([r.name for r in rules], [seen[f"r{k}"] / seen["n"] for k in range(len(rules))], [seconds(verdict(r)) - floor for r in rules])
+        return sorted(rules, key=lambda r: order.index(r.name))
     finally:
-        columns.unpersist()
+        sampled.unpersist()
 
 
-def cascade(rules: list[Rule]) -> Column:
+def cascade(rules: list[Rule], counts: Counts) -> Column:
     """The name of the first rule that rejects, in the given order; null if none does."""
     out = F.lit(None).cast("string")
     for rule in reversed(rules):
-        out = F.when(_rejects(rule), F.lit(rule.name)).otherwise(out)
+        out = F.when(_rejects(rule, counts), F.lit(rule.name)).otherwise(out)
     return out
 
 
@@ -179,20 +250,24 @@ def judge_quality(docs: DataFrame, *, text_col: str = "text", params: QualityPar
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by and kept.
 
     A null text counts as empty and fails few_words; an empty table gives no rows; repeated rows are judged alike.
-    Columns of `docs` with one of the names above are replaced, as are those named _words, _lines, _n_lines and _row; all others stay.
+    Columns of `docs` with one of the names above are replaced, as are those named _words, _lines and _n_lines; all others stay.
     rejected_by names the first rule of the cascade that rejects (null if kept); it may depend on the measured order
     where several rules reject, kept does not.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", "_words", "_lines", "_n_lines", "_row"]
+    own = [*HELD, "base_failed", "rejected_by", "kept", "_words", "_lines", "_n_lines"]
     rows = docs.drop(*[c for c in own if c in docs.columns and c != text_col])
-    base, more = base_rules(params), method_rules(params, text_col)
-    failed = _rejects(base[0]) | _rejects(base[1])
-    order = plan_cascade(rows, [*base, *more], params, text_col)
+    base = base_rules(params)
+    counts = Counts(F.coalesce(F.col(text_col), F.lit("")), F.col("_words"), params.window, HELD)
+    order = plan_cascade(rows, [*base, *method_rules(params)], params, text_col)
     return (
         statistics(rows, text_col, params)
-        .withColumns({"base_failed": failed, "rejected_by": cascade(order)})
-        # a filter on kept must not be pushed below the statistics, where each use of one would compute it again; no
-        # filter passes the row number, which is never negative
-        .withColumn("kept", F.col("rejected_by").isNull() & (F.col("_row") >= 0))
-        .drop("_words", "_n_lines", "_row")
+        .withColumns({"base_failed": _rejects(base[0], counts) | _rejects(base[1], counts), "rejected_by": cascade(order, counts)})
+        .withColumn("kept", F.col("rejected_by").isNull())
+        .drop("_words", "_n_lines")
     )
+
+
+def drop_rejected(docs: DataFrame, *, text_col: str = "text", params: QualityParams = QualityParams()) -> DataFrame:
+    """The rows of `docs` that no rule rejects, as judge_quality would, with nothing computed beyond the first rejection."""
+    order = plan_cascade(docs, [*base_rules(params), *method_rules(params)], params, text_col)
+    return docs.filter(_of_text(F.col(text_col), params, lambda c: cascade(order, c)).isNull())

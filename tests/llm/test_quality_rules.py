@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from strandloom.llm import quality_rules as Q
 from strandloom.llm.queries import op9_quality_rules
 from tests.llm.cases import collected, documents, prose
@@ -37,14 +39,43 @@ def test_against_brute_force(spark, tmp_path):
         assert not (out.base_failed and out.kept)
 
 
-def test_order_is_by_rejections_per_cost_and_verdict_does_not_depend_on_it(spark):
+def test_verdict_is_the_same_in_any_order_and_way(spark):
     docs = documents(spark)
     stats = Q.statistics(docs)
     rules = [*Q.base_rules(), *Q.method_rules()]
     order = Q.plan_cascade(docs, rules)
     assert sorted(r.name for r in order) == sorted(r.name for r in rules)
-    verdict = lambda rs: {r[0]: r[1] for r in stats.select("doc_id", Q.cascade(rs).isNull()).collect()}
+    counts = Q.Counts(F.coalesce("text", F.lit("")), F.col("_words"), 8, Q.HELD)
+    verdict = lambda rs: {r[0]: r[1] for r in stats.select("doc_id", Q.cascade(rs, counts).isNull()).collect()}
     assert verdict(order) == verdict(rules) == verdict(rules[::-1])
+    kept = sorted(r.doc_id for r in Q.judge_quality(docs).filter("kept").collect())
+    assert kept == sorted(r.doc_id for r in Q.drop_rejected(docs).collect()) == sorted(k for k, v in verdict(rules).items() if v)
+    assert Q.drop_rejected(docs).columns == docs.columns and Q.drop_rejected(docs.limit(0)).count() == 0
+
+
+def test_order_is_by_rejections_per_cost():
+    names = ["a", "b", "c", "d"]
+    assert Q.rated(names, [0.1, 0.1, 0.4, 0.0], [0.001, 0.2, 0.1, 0.0]) == ["a", "c", "b", "d"]
+    # the noise of a timing does not count, and of equals the first given is first
+    assert Q.rated(names, [0.1] * 4, [0.002, 0.001, 0.005, 0.0]) == names
+
+
+def test_two_plans_of_clear_differences_are_one(spark):
+    """A cheap rule that rejects much, a cheap one and a dear one that reject nothing."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, prose(rng, 900) if k % 3 else "few words") for k in range(900)], "doc_id long, text string")
+    dear = Q.Rule("dear", lambda c: (Q.repeat_words(c.words, 8) + Q.repeat_words(c.words, 4) + Q.stutter(c.words)) > 10**6)
+    never = Q.Rule("never", lambda c: c.n_words < 0)
+    rules = [dear, never, Q.base_rules()[0]]
+    orders = [[r.name for r in Q.plan_cascade(docs, rules)] for _ in range(2)]
+    assert orders == [["few_words", "never", "dear"]] * 2
+
+
+def test_rules_after_a_rejection_are_not_computed(spark):
+    fails = Q.Rule("fails", lambda c: F.raise_error(F.lit("computed")).cast("boolean"))
+    docs = spark.createDataFrame([(1, "few words"), (2, None)], "doc_id long, text string")
+    both = Q._of_text(F.col("text"), Q.QualityParams(), lambda c: Q.cascade([Q.base_rules()[0], fails], c))
+    assert [r[0] for r in docs.select(both).collect()] == ["few_words"] * 2
 
 
 def test_junk_goes_and_prose_stays(spark):
