@@ -221,18 +221,17 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], params: QualityParams = Qua
         if not seen["n"]:
             return list(rules)
 
-        def seconds(value: Column) -> float:
-            frame, took = sampled.agg(F.sum(value.cast("long"))), []
-            for _ in range(params.timings):
-                began = time.perf_counter()
-                frame.collect()
-                took.append(time.perf_counter() - began)
-            return median(took)
+        def seconds(frame: DataFrame) -> float:
+            began = time.perf_counter()
+            frame.collect()
+            return time.perf_counter() - began
 
+        # in turns, as code that is compiled meanwhile makes later runs faster
         words = _of_text(F.col("_text"), params, lambda c: F.size(c.words) > 0)
-        seconds(words)
-        floor = seconds(words)
-        order = rated([r.name for r in rules], [seen[f"r{k}"] / seen["n"] for k in range(len(rules))], [seconds(verdict(r)) - floor for r in rules])
+        timed = [sampled.agg(F.sum(value.cast("long"))) for value in (words, *map(verdict, rules))]
+        seconds(timed[0])
+        floor, *took = (median(own) for own in zip(*[[seconds(frame) for frame in timed] for _ in range(params.timings)], strict=True))
+        order = rated([r.name for r in rules], [seen[f"r{k}"] / seen["n"] for k in range(len(rules))], [s - floor for s in took])
         return sorted(rules, key=lambda r: order.index(r.name))
     finally:
         sampled.unpersist()
