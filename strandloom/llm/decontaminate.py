@@ -7,33 +7,66 @@ bitmap and a sorted array, and each hit is verified word by word against the win
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import textkernels as K
 from strandloom.scratch import Scratch
 
 WINDOW = 10
-#: Bytes of benchmark text held in one broadcast; more is worked off in blocks of this size, each over all documents.
-BROADCAST_BYTES = 16 << 20
+#: Bytes of one broadcast index, and its bytes for each byte of text at most: a word takes two with what parts it from the
+#: next, and has 40 bytes of hash and places. More is worked off in blocks of this size, each over all documents.
+BROADCAST_BYTES = 128 << 20
+INDEX_BYTES = 22
 _BITMAP_BITS = 22
 
 
 @dataclass
 class Windows:
-    """Hashes, sorted and distinct; texts[h]: the windows of that hash as words joined by a space, each with its items."""
+    """Windows in order of their hashes (equal ones may be unequal windows), as places of words in one byte string.
+
+    Window k is the words first[k] to first[k] + size[k] of the items, and stands for the items[at[k] : at[k + 1]].
+    """
 
     hashes: np.ndarray
-    lengths: tuple[int, ...]
-    texts: dict[int, dict[bytes, list[str]]]
+    first: np.ndarray
+    size: np.ndarray
+    at: np.ndarray
+    items: list[str]
+    owner: np.ndarray
+    body: bytes
+    ends: np.ndarray
     bitmap: np.ndarray
 
+    @property
+    def lengths(self) -> list[int]:
+        return np.unique(self.size).tolist()
+
+    @property
+    def n_bytes(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.first, self.size, self.at, self.owner, self.ends, self.bitmap)) + len(self.body)
+
+    def text(self, k: int) -> bytes:
+        """The words of a window, with a space after each."""
+        return self.body[int(self.ends[self.first[k]]) : int(self.ends[self.first[k] + self.size[k]])]
+
+    def find(self, h: np.uint64, text: bytes) -> int:
+        """The window of these words, or -1."""
+        k = int(np.searchsorted(self.hashes, h))
+        while k < len(self.hashes) and self.hashes[k] == h:
+            if self.text(k) == text:
+                return k
+            k += 1
+        return -1
+
+    def items_of(self, k: int) -> list[str]:
+        return [self.items[i] for i in self.owner[self.at[k] : self.at[k + 1]]]
+
 
 def _scan(texts: list[bytes] | None, data: np.ndarray, offsets: np.ndarray):
     starts, ends, first = K.words(data, offsets, K.ALNUM)
@@ -42,24 +75,46 @@ def _scan(texts: list[bytes] | None, data: np.ndarray, offsets: np.ndarray):
 
 
 def build_windows(items: list[tuple[object, str | None]], window: int = WINDOW) -> Windows:
-    texts: dict[int, dict[bytes, list[str]]] = defaultdict(dict)
-    lengths = set()
+    names, parts, hashes, first, size, owner = [], [], [], [], [], []
+    ends, n_words = [np.zeros(1, np.int64)], 0
     for item, text in items:
         data = np.frombuffer((text or "").encode(), np.uint8)
-        lowered, starts, ends, _, hashes = _scan(None, data, np.array([0, len(data)]))
-        size = min(window, len(starts))
-        if not size:
+        lowered, starts, stops, _, words = _scan(None, data, np.array([0, len(data)]))
+        n = min(window, len(starts))
+        if not n:
             continue
-        lengths.add(size)
-        plain = [lowered[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
-        for k, h in enumerate(K.window_hashes(hashes, size).tolist()):
-            held = texts[h].setdefault(b" ".join(plain[k : k + size]), [])
-            if not held or held[-1] != str(item):
-                held.append(str(item))
-    found = np.array(sorted(texts), np.uint64)
-    bitmap = np.zeros(1 << _BITMAP_BITS, bool)
-    bitmap[found >> np.uint64(64 - _BITMAP_BITS)] = True
-    return Windows(found, tuple(sorted(lengths)), dict(texts), bitmap)
+        plain = [lowered[s:e].tobytes() + b" " for s, e in zip(starts, stops, strict=True)]
+        parts += plain
+        ends.append(ends[-1][-1] + np.cumsum([len(w) for w in plain]))
+        found = K.window_hashes(words, n)
+        hashes.append(found)
+        first.append(n_words + np.arange(len(found)))
+        size.append(np.full(len(found), n))
+        owner.append(np.full(len(found), len(names)))
+        names.append(str(item))
+        n_words += len(plain)
+    hashes = np.concatenate([*hashes, np.empty(0, np.uint64)])
+    first, size, owner = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (first, size, owner))
+    order = np.lexsort((owner, hashes))
+    out = Windows(hashes[order], first[order], size[order].astype(np.int32), np.zeros(1, np.int64), names, owner[order].astype(np.int32), b"".join(parts), np.concatenate(ends), np.zeros(1 << _BITMAP_BITS, bool))
+    # equal windows become one, with the items of all; windows of one hash are few
+    keep, held, at = [], [], [0]
+    cuts = np.flatnonzero(np.concatenate([[True], out.hashes[1:] != out.hashes[:-1], [True]])) if len(out.hashes) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own: dict[bytes, tuple[int, list[int]]] = {}
+        for k in range(a, b):
+            kept, ids = own.setdefault(out.text(k), (k, []))
+            if not ids or ids[-1] != out.owner[k]:
+                ids.append(int(out.owner[k]))
+        for k, ids in own.values():
+            keep.append(k)
+            held += ids
+            at.append(len(held))
+    keep = np.array(keep, np.int64)
+    out.hashes, out.first, out.size = out.hashes[keep], out.first[keep], out.size[keep]
+    out.at, out.owner = np.array(at, np.int64), np.array(held, np.int32)
+    out.bitmap[out.hashes >> np.uint64(64 - _BITMAP_BITS)] = True
+    return out
 
 
 def scan_block(data: np.ndarray, offsets: np.ndarray, windows: Windows, covered: list[list] | None = None):
@@ -76,12 +131,11 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, windows: Windows, covered:
         where = np.searchsorted(windows.hashes, sums[at])
         at = at[windows.hashes[np.minimum(where, len(windows.hashes) - 1)] == sums[at]]
         for k in at.tolist():
-            held = windows.texts[int(sums[k])]
-            own = held.get(b" ".join(lowered[starts[j] : ends[j]].tobytes() for j in range(k, k + size)))
-            if own:
+            own = windows.find(sums[k], b"".join(lowered[starts[j] : ends[j]].tobytes() + b" " for j in range(k, k + size)))
+            if own >= 0:
                 hit[k] += 1
                 hit[k + size] -= 1
-                items[doc[k]].update(own)
+                items[doc[k]].update(windows.items_of(own))
     flags = np.cumsum(hit[:-1]) > 0
     for i, spans in enumerate(covered or ()):
         for a, b in spans:
@@ -136,8 +190,16 @@ def _marked(rows: DataFrame, windows, again: bool, clean: bool) -> DataFrame:
     return rows.select(*[f"`{c}`" for c in names], *(["n_words", "hits", "items"] if again else [])).mapInArrow(scan, f"{schema}, {_SCHEMA}")
 
 
+def _parts(text: str, most: int, window: int) -> Column:
+    """A text in parts of about `most` bytes of words; each but the last ends with the window - 1 words that the next begins with."""
+    words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    step = F.greatest(F.floor(F.size(words) * most / (2 * F.octet_length(text))).cast("int"), F.lit(1))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - window + 1, F.lit(1)), step)
+    return F.transform(starts, lambda a: F.array_join(F.slice(words, a, step + window - 1), " "))
+
+
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, remove_spans: bool = False
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, remove_spans: bool = False, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """`docs` with n_words, hits (runs of hit words), items (ids as strings, sorted) and contaminated.
 
@@ -148,7 +210,8 @@ def find_contamination(
 
     Null and empty documents have no words; repeated rows and equal items are each reported; an empty benchmark leaves
     all clean. Columns of `docs` with one of the four names are replaced; the others stay. A benchmark of more than
-    BROADCAST_BYTES goes through in blocks, one pass over the documents for each.
+    BROADCAST_BYTES of index goes through in blocks, one pass over the documents for each; of a longer item a part that
+    shares window - 1 words with the next is an item.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -159,8 +222,12 @@ def find_contamination(
     rows = held.toDF(*names)
 
     source = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    # items that are longer than a block are cut into parts that share window - 1 words, so no window is lost
+    most = max(1, broadcast_bytes // INDEX_BYTES)
+    source = source.withColumn("text", F.explode_outer(F.when(F.octet_length("text") > most, _parts("text", most, window)).otherwise(F.array("text"))))
     size = source.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
-    n_blocks = max(1, -(-size // BROADCAST_BYTES))
+    n_blocks = max(1, -(-2 * size // most) if size > most else 1)
+    before = None
     for k in range(n_blocks):
         part = source if n_blocks == 1 else source.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
         items = [(r["item"], r["text"]) for r in part.collect()]
@@ -168,6 +235,9 @@ def find_contamination(
         rows = _marked(rows, windows, k > 0, remove_spans and k == n_blocks - 1)
         if k < n_blocks - 1:
             rows = scratch.keep(rows, "scanned")
+            if before is not None:
+                scratch.drop(before)
+            before = rows
     out = rows.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, held.columns, strict=True)], "n_words", "hits", "items")
     return out.withColumn("contaminated", F.size("hits") > 0)
 

@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate as D
 from strandloom.llm.queries import op4_decontaminate
+from strandloom.scratch import shared_folder
 from tests.llm.cases import collected, documents, prose
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -58,11 +60,14 @@ def test_against_brute_force(spark, tmp_path):
     assert sum(r.contaminated for r in got.values()) > 15
 
 
-def test_blocks_agree_and_spans_go(spark, monkeypatch):
+def test_blocks_agree_and_spans_go(spark):
     docs, items, bench = tables(spark)
     whole = collected(D.find_contamination(docs, bench))
-    monkeypatch.setattr(D, "BROADCAST_BYTES", 200)
-    parts = collected(D.find_contamination(docs, bench))
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("*/scanned-*"))
+    # about 200 bytes of items a block: items of more are cut, blocks are many, and one table is left
+    parts = collected(D.find_contamination(docs, bench, broadcast_bytes=200 * D.INDEX_BYTES))
+    assert len(set(folder.glob("*/scanned-*")) - before) == 1
     assert {k: (r.n_words, r.hits, r.items) for k, r in whole.items()} == {k: (r.n_words, r.hits, r.items) for k, r in parts.items()}
     clean = collected(D.find_contamination(docs, bench, remove_spans=True))
     for k, r in clean.items():
@@ -71,6 +76,22 @@ def test_blocks_agree_and_spans_go(spark, monkeypatch):
             assert r.text == whole[k].text or (r.text or "") == (whole[k].text or "")
 
 
+def test_index_holds_each_window_once_within_its_bound():
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randrange(5, 60)) for _ in range(40)]
+    items = [(k, t) for k, t in enumerate([*texts, *texts[:10], "a b c d e f g h i j k " * 30])]
+    index = D.build_windows(items)
+    want = {}
+    for k, t in items:
+        w = words(t)
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1):
+            want.setdefault("".join(f"{x} " for x in w[i : i + n]).encode(), set()).add(str(k))
+    assert {index.text(k): {*index.items_of(k)} for k in range(len(index.hashes))} == want
+    assert all(index.find(index.hashes[k], index.text(k)) == k for k in range(len(index.hashes))) and index.find(index.hashes[0], b"no ") == -1
+    assert index.n_bytes - index.bitmap.nbytes <= D.INDEX_BYTES * sum(len(t.encode()) + 16 for _, t in items)
+
+
 def test_empty_tables_and_clashing_names(spark):
     docs, _, bench = tables(spark)
     assert D.find_contamination(docs.limit(0), bench).count() == 0
