@@ -14,7 +14,7 @@ from strandloom.plans import find_arrays, search_graph
 from strandloom.plans.fixtures import lettered_documents, planted_arrays, planted_reads
 from strandloom.scratch import Scratch
 from strandloom.settings import settings_report as report_settings
-from strandloom.sources import sinks
+from strandloom.sources import read_fastq, read_graph, read_starts, search_text, sinks
 
 #: Planted reads are searched on the strand they are planted on.
 ONE_STRAND = Params(both_strands=False)
@@ -163,6 +163,90 @@ def q_settings_report(spark, sf_dir):
     return report_settings(runs)
 
 
+def q_ratio_predecessors(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    starts = cycles.candidates(edges, ONE_STRAND)
+    return graph.ratio_predecessors(edges, starts, 30, visited=starts)
+
+
+def q_without_predecessor(spark, sf_dir):
+    return graph.without_predecessor(_edges(spark, sf_dir))
+
+
+def q_goal_walks(spark, sf_dir):
+    """From each start edge to the other start edges that follow within well covered edges."""
+    edges = _edges(spark, sf_dir)
+    starts = cycles.candidates(edges, ONE_STRAND)
+    ends = starts.select(F.col("src").alias("home"), F.col("edge").alias("goal"))
+    pairs = graph.successors(edges, 20).join(starts.select("edge"), "edge", "left_semi").select(F.col("edge").alias("start"), F.col("next").alias("goal"))
+    pairs = pairs.unionByName(ends.select(F.col("goal").alias("start"), "goal"))
+    return graph.goal_walks(edges, pairs, edges.filter("mult >= 20"))
+
+
+def q_repeat_nodes(spark, sf_dir):
+    groups = arrays.repeat_nodes(arrays.cycle_groups(_kept(spark, sf_dir), ONE_STRAND), ONE_STRAND)
+    return groups.select("start", F.col("n_repeat").cast("long").alias("n_repeat"))
+
+
+def q_spell_paths(spark, sf_dir):
+    return _kept(spark, sf_dir).select("start", S.spell(F.col("nodes"), K).alias("spelled"))
+
+
+def q_spacer_filter(spark, sf_dir):
+    kept = arrays.filter_spacers(arrays.split_spacers(arrays.periods(_groups(spark, sf_dir), ONE_STRAND)), ONE_STRAND)
+    return kept.select("repeat", F.explode("spacers").alias("spacer"))
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{Scratch(spark).root}/files"
+
+
+def q_fastq_scan(spark, sf_dir):
+    """The planted reads, written as FASTQ and read again."""
+    path = _folder(spark)
+    rows = planted_reads(spark, sf_dir)
+    record = F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
+    rows.select(record.alias("value")).write.text(path)
+    return read_fastq(spark, path, "planted").select("sample_id", F.col("name").cast("long").alias("read_id"), F.col("mate").cast("long").alias("mate"), "seq")
+
+
+def q_graph_round_trip(spark, sf_dir):
+    path = _folder(spark)
+    sinks.write_graph(_edges(spark, sf_dir), path)
+    return read_graph(spark, path)
+
+
+def q_graph_delete(spark, sf_dir):
+    """Edges that are left of a graph when it is deleted and a smaller one written in its place."""
+    path = _folder(spark)
+    edges = _edges(spark, sf_dir)
+    sinks.write_graph(edges, path)
+    sinks.delete_graph(edges, path)
+    sinks.write_graph(edges.filter("mult >= 20"), path)
+    return read_graph(spark, path)
+
+
+def q_starts_round_trip(spark, sf_dir):
+    path = _folder(spark)
+    sinks.write_starts(cycles.candidates(_edges(spark, sf_dir), ONE_STRAND), path)
+    return read_starts(spark, path)
+
+
+def q_array_lines(spark, sf_dir):
+    path = _folder(spark)
+    sinks.write_arrays(find_arrays(planted_reads(spark, sf_dir), ONE_STRAND).arrays, path)
+    return spark.read.text(path).withColumnRenamed("value", "array_seq")
+
+
+def q_text_search(spark, sf_dir):
+    """Lines of the documents, written as text, that hold a string."""
+    path = _folder(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.select(F.explode(F.split("text", "\n", -1)).alias("value")).filter(~F.col("value").contains("\r")).write.text(path)
+    found = search_text(spark, path, "tion")
+    return found.groupBy("value").agg(F.count("*").alias("n_lines"), F.min("at").cast("long").alias("at"))
+
+
 QUERIES: dict[str, Query] = {
     "planted_reads": planted_arrays,
     "revcomp": q_revcomp,
@@ -178,6 +262,18 @@ QUERIES: dict[str, Query] = {
     "successors_covered": lambda s, d: graph.successors(_edges(s, d), 20),
     "predecessors": lambda s, d: graph.predecessors(_edges(s, d)),
     "predecessors_covered": lambda s, d: graph.predecessors(_edges(s, d), 20),
+    "ratio_predecessors": q_ratio_predecessors,
+    "without_predecessor": q_without_predecessor,
+    "goal_walks": q_goal_walks,
+    "fastq_scan": q_fastq_scan,
+    "graph_round_trip": q_graph_round_trip,
+    "graph_delete": q_graph_delete,
+    "starts_round_trip": q_starts_round_trip,
+    "array_lines": q_array_lines,
+    "text_search": q_text_search,
+    "repeat_nodes": q_repeat_nodes,
+    "spell_paths": q_spell_paths,
+    "spacer_filter": q_spacer_filter,
     "self_loops": lambda s, d: graph.self_loops(_document_edges(s, d)),
     "ratio_neighbours": q_ratio_neighbours,
     "invalidate": q_invalidate,
@@ -243,6 +339,18 @@ ORACLES: dict[str, str] = {
     "predecessors_covered": f"WITH {_EDGES} SELECT x.edge, y.edge AS previous, y.mult AS previous_mult FROM e x JOIN e y ON x.src = y.dst WHERE y.mult >= 20",
     "self_loops": f"WITH {_DOC_EDGES} SELECT * FROM e WHERE src = dst",
     "ratio_neighbours": f"WITH {_EDGES}, {_STARTS} SELECT st.edge, e.edge AS next, e.mult AS next_mult FROM st JOIN e ON st.dst = e.src WHERE st.mult // e.mult <= 30 AND st.edge <> e.edge",
+    "ratio_predecessors": f"WITH {_EDGES}, {_STARTS} SELECT DISTINCT st.edge, e.edge AS previous, e.mult AS previous_mult FROM st JOIN e ON st.src = e.dst WHERE st.mult // e.mult <= 30 AND st.edge <> e.edge AND e.edge NOT IN (SELECT edge FROM st)",
+    "without_predecessor": f"WITH {_EDGES} SELECT * FROM e WHERE src NOT IN (SELECT dst FROM e)",
+    "goal_walks": f"WITH {_EDGES}, {_STARTS} SELECT edge AS start, edge AS goal, 0 AS steps FROM st UNION ALL SELECT st.edge, e.edge, 1 FROM st JOIN e ON st.dst = e.src WHERE e.mult >= 20 AND st.edge <> e.edge",
+    "fastq_scan": f"WITH {_PLANTED} SELECT 'planted' AS sample_id, (block * 1000 + nk) * 8 + copy AS read_id, 1::BIGINT AS mate, seq FROM a, range(8) t(copy)",
+    "graph_round_trip": f"WITH {_EDGES} SELECT * FROM e",
+    "graph_delete": f"WITH {_EDGES} SELECT * FROM e WHERE mult >= 20",
+    "starts_round_trip": f"WITH {_EDGES}, {_STARTS} SELECT edge, mult, bucket FROM st",
+    "array_lines": f"WITH {_TRUTH} SELECT string_agg(r || s, '' ORDER BY s) AS array_seq FROM tm GROUP BY r",
+    "text_search": "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents) SELECT value, count(*) AS n_lines, any_value(instr(value, 'tion'))::BIGINT AS at FROM l WHERE contains(value, 'tion') AND NOT contains(value, chr(13)) GROUP BY value",
+    "repeat_nodes": f"WITH {_TRUTH} SELECT start, 9::BIGINT AS n_repeat FROM tm GROUP BY start",
+    "spell_paths": f"WITH {_TRUTH} SELECT start, substr(seq, 1, 86) AS spelled FROM tm",
+    "spacer_filter": f"WITH {_TRUTH} SELECT substr(r, 1, 31) AS repeat, substr(r, 32, 1) || s AS spacer FROM tm",
     "invalidate": f"WITH {_EDGES}, {_STARTS} SELECT * FROM e WHERE edge NOT IN (SELECT edge FROM st)",
     "tips": f"WITH {_DOC_EDGES} SELECT * FROM e WHERE dst NOT IN (SELECT src FROM e)",
     "start_candidates": f"WITH {_EDGES}, {_STARTS} SELECT * FROM st",
