@@ -170,7 +170,7 @@ def q_ratio_predecessors(spark, sf_dir):
 
 
 def q_without_predecessor(spark, sf_dir):
-    return graph.without_predecessor(_edges(spark, sf_dir))
+    return graph.without_predecessor(_document_edges(spark, sf_dir))
 
 
 def q_goal_walks(spark, sf_dir):
@@ -340,7 +340,7 @@ ORACLES: dict[str, str] = {
     "self_loops": f"WITH {_DOC_EDGES} SELECT * FROM e WHERE src = dst",
     "ratio_neighbours": f"WITH {_EDGES}, {_STARTS} SELECT st.edge, e.edge AS next, e.mult AS next_mult FROM st JOIN e ON st.dst = e.src WHERE st.mult // e.mult <= 30 AND st.edge <> e.edge",
     "ratio_predecessors": f"WITH {_EDGES}, {_STARTS} SELECT DISTINCT st.edge, e.edge AS previous, e.mult AS previous_mult FROM st JOIN e ON st.src = e.dst WHERE st.mult // e.mult <= 30 AND st.edge <> e.edge AND e.edge NOT IN (SELECT edge FROM st)",
-    "without_predecessor": f"WITH {_EDGES} SELECT * FROM e WHERE src NOT IN (SELECT dst FROM e)",
+    "without_predecessor": f"WITH {_DOC_EDGES} SELECT * FROM e WHERE src NOT IN (SELECT dst FROM e)",
     "goal_walks": f"WITH {_EDGES}, {_STARTS} SELECT edge AS start, edge AS goal, 0 AS steps FROM st UNION ALL SELECT st.edge, e.edge, 1 FROM st JOIN e ON st.dst = e.src WHERE e.mult >= 20 AND st.edge <> e.edge",
     "fastq_scan": f"WITH {_PLANTED} SELECT 'planted' AS sample_id, (block * 1000 + nk) * 8 + copy AS read_id, 1::BIGINT AS mate, seq FROM a, range(8) t(copy)",
     "graph_round_trip": f"WITH {_EDGES} SELECT * FROM e",
