@@ -243,7 +243,7 @@ def pieces(docs: DataFrame, path: str, *, id_col: str, text_col: str, capacity:
                     columns, names = [*columns, pa.array(parts, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(cut, f"_id {rows.schema['_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(K.trimmed(cut), f"_id {rows.schema['_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 @dataclass(frozen=True)
@@ -382,5 +382,5 @@ def pack(
     ranked = gapless(cut, ["length"], F.pmod(F.xxhash64("_id", "piece"), F.lit(salts)).cast("int"), ["_id", "piece"], "_rank")
     kept = [f for f in cut.schema]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    out = ranked.select(*[f.name for f in kept], "_rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    out = ranked.select(*[f.name for f in kept], "_rank").mapInArrow(K.trimmed(place), f"{schema}, sequence_id long, offset long")
     return out.withColumnRenamed("_id", id_col)
