@@ -23,6 +23,18 @@ def code(seq: Column, k: int) -> Column:
     return F.conv(F.translate(seq, "ACGT", "0123"), 4, 10).cast("long") if k <= 31 else seq
 
 
+def letters(number: Column, n: int) -> Column:
+    """The sequence of `n` letters that code() made a number of."""
+    return F.translate(F.lpad(F.conv(number.cast("string"), 10, 4), n, "0"), "0123", "ACGT")
+
+
+def window_codes(seq: Column, size: int) -> Column:
+    """windows() as numbers, for at most 31 letters."""
+    digits = F.translate(seq, "ACGT0123", "0123NNNN")
+    cut = F.regexp_extract_all(digits, F.lit(f"(?=([0-3]{{{size}}}))"), F.lit(1))
+    return F.transform(F.coalesce(cut, F.array().cast("array<string>")), lambda w: F.conv(w, 4, 10).cast("long"))
+
+
 def label(edge: Column, k: int) -> Column:
     """The source node that an edge is labelled by."""
     return F.substring(edge, 1, k)

@@ -30,6 +30,21 @@ def _document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.build_graph(lettered_documents(spark, sf_dir), ONE_STRAND)
 
 
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of _edges in numbers, written."""
+    return kmers.keep_graph(planted_reads(spark, sf_dir), ONE_STRAND, Scratch(spark))
+
+
+def _named(rows: DataFrame, *edges: str) -> DataFrame:
+    """Rows with their numbered edges as letters."""
+    return rows.withColumns({name: S.letters(F.col(name), K + 1) for name in edges})
+
+
+def q_edge_degrees(spark, sf_dir):
+    found = _named(graph.degrees(_coded(spark, sf_dir)), "edge")
+    return found.withColumns({"src": F.substring("edge", 1, K), "dst": F.substring("edge", 2, K)})
+
+
 def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Scratch]:
     scratch = Scratch(spark)
     return *search_graph(planted_reads(spark, sf_dir), ONE_STRAND, scratch), scratch
@@ -257,11 +272,11 @@ QUERIES: dict[str, Query] = {
     "kmer_spectrum": lambda s, d: kmers.spectrum(_document_edges(s, d)),
     "drop_singletons": lambda s, d: kmers.drop_rare(_document_edges(s, d)),
     "graph_size": lambda s, d: graph.graph_size(_edges(s, d)),
-    "edge_degrees": lambda s, d: graph.degrees(_edges(s, d)),
-    "successors": lambda s, d: graph.successors(_edges(s, d)),
-    "successors_covered": lambda s, d: graph.successors(_edges(s, d), 20),
-    "predecessors": lambda s, d: graph.predecessors(_edges(s, d)),
-    "predecessors_covered": lambda s, d: graph.predecessors(_edges(s, d), 20),
+    "edge_degrees": q_edge_degrees,
+    "successors": lambda s, d: _named(graph.successors(_coded(s, d)), "edge", "next"),
+    "successors_covered": lambda s, d: _named(graph.successors(_coded(s, d), 20), "edge", "next"),
+    "predecessors": lambda s, d: _named(graph.predecessors(_coded(s, d)), "edge", "previous"),
+    "predecessors_covered": lambda s, d: _named(graph.predecessors(_coded(s, d), 20), "edge", "previous"),
     "ratio_predecessors": q_ratio_predecessors,
     "without_predecessor": q_without_predecessor,
     "goal_walks": q_goal_walks,
