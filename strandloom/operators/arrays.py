@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions import spell, split_on
+from strandloom.functions import spell, split_on, windows
 from strandloom.params import Params
 
 
 def cycle_groups(cycles: DataFrame, params: Params = Params()) -> DataFrame:
     """groups(start, cycles, n_cycles): a start's cycles without their last nodes, in order; starts with too few are out."""
+    if "seq" in cycles.columns:
+        # the walks of one start begin alike, so they are in the order of their nodes, and far shorter to gather
+        walked = cycles.select("start", F.expr("left(seq, length(seq) - 1)").alias("walk")).groupBy("start")
+        groups = walked.agg(F.array_sort(F.collect_list("walk")).alias("walks"), F.count("*").cast("int").alias("n_cycles")).filter(F.col("n_cycles") >= params.min_cycles)
+        return groups.select("start", F.transform("walks", lambda w: windows(w, params.k + 1)).alias("cycles"), "n_cycles")
     cut = cycles.select("start", F.slice("nodes", F.lit(1), F.size("nodes") - 1).alias("nodes"))
     groups = cut.groupBy("start").agg(F.array_sort(F.collect_list("nodes")).alias("cycles"), F.count("*").cast("int").alias("n_cycles"))
     return groups.filter(F.col("n_cycles") >= params.min_cycles)

@@ -1,8 +1,9 @@
 """Start edges, bounded simple cycles through them, and their greedy selection.
 
-The graph is first compacted to unitigs (unbranched runs of edges) by pointer jumping, in as many joins as the longest
-run that matters has binary digits. Paths then grow by whole unitigs, so a cycle through a repeat and a spacer takes two
-or three joins instead of one for each letter.
+The graph is first compacted to unitigs (unbranched runs of edges): to pieces of them in one exchange (runs.py), then by
+pointer jumping over pieces. Paths grow by whole unitigs, so a cycle through a repeat and a spacer takes two or three joins
+instead of one for each letter, and the greedy choice can be made among paths of unitigs, too. Only what is kept is spelled,
+as the letters that it walks over.
 """
 
 from __future__ import annotations
@@ -10,15 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions import code, log2_bucket
-from strandloom.operators.graph import degrees
+from strandloom.functions import letters, log2_bucket, windows
+from strandloom.operators.kmers import coded, is_coded
+from strandloom.operators.runs import pieces
 from strandloom.params import Params
-from strandloom.scratch import Scratch
+from strandloom.scratch import Scratch, release
 
 
 def candidates(edges: DataFrame, params: Params = Params()) -> DataFrame:
     """starts(edge, src, dst, mult, indegree, bucket): well covered edges where paths meet; edges that follow themselves are out."""
-    found = degrees(edges).filter((F.col("indegree") >= params.min_start_indegree) & (F.col("mult") >= params.min_start_mult) & (F.col("src") != F.col("dst")))
+    met = edges.groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("indegree")).filter(F.col("indegree") >= params.min_start_indegree)
+    found = edges.filter((F.col("mult") >= params.min_start_mult) & (F.col("src") != F.col("dst"))).join(met.hint("merge"), "src")
     return found.select("edge", "src", "dst", "mult", "indegree", log2_bucket(F.col("mult")).alias("bucket"))
 
 
@@ -27,41 +30,35 @@ def bucket_sizes(starts: DataFrame) -> DataFrame:
 
 
 def unitigs(edges: DataFrame, starts: DataFrame, longest: int, k: int, scratch: Scratch) -> DataFrame:
-    """unitigs(id, head, src, dst, nodes, n, min_mult) of at most `longest` edges, written; each start is a head.
+    """unitigs(id, src, dst, tail, mults, n, min_mult) of at most `longest` edges, written; each start is a first edge.
 
-    An edge joins its only successor if that has no other predecessor. src and dst are the numbers of the nodes that a
-    unitig runs between. Runs that are still open after the rounds are longer than `longest` or closed without a
-    branch; neither lies on a bounded cycle through a start.
+    An edge joins its only successor if that has no other predecessor. id is the first edge, src and dst are the nodes that
+    a unitig runs between, tail and mults are its edges' last letters and multiplicities. Runs that are still open after the
+    rounds are longer than `longest` or closed without a branch; neither lies on a bounded cycle through a start.
     """
-    known = degrees(edges)
-    # the node before an edge is plain if one edge enters it and one leaves it
-    leaving = edges.groupBy("src").agg(F.count("*").alias("n_leaving"))
-    before = edges.select(F.col("edge").alias("previous"), F.col("dst").alias("src"))
-    forced = starts.select("edge", F.lit(True).alias("is_start"))
-    plain = known.join(leaving, "src").join(forced, "edge", "left").withColumn(
-        "is_head", (F.col("indegree") != 1) | (F.col("n_leaving") != 1) | F.coalesce("is_start", F.lit(False)) | (F.col("src") == F.col("dst"))
-    )
-    heads = plain.filter("is_head").select("edge", "src", "dst", "mult", F.col("edge").alias("at"), F.lit(0).alias("steps"), F.lit(True).alias("done"))
-    others = plain.filter("not is_head").join(before, "src").select("edge", "src", "dst", "mult", F.col("previous").alias("at"), F.lit(1).alias("steps"), F.lit(False).alias("done"))
-    placed = scratch.keep(heads.unionByName(others), "pointers")
+    parts = scratch.keep(pieces(edges, starts, k), "pieces")
+    release(edges.sparkSession)
+    placed = scratch.keep(parts.select("last", F.coalesce("previous", "last").alias("at"), F.col("previous").isNotNull().cast("int").alias("steps"), F.col("previous").isNull().alias("done")), "pointers")
     for _ in range(max(1, longest.bit_length())):
         if not placed.filter("not done").limit(1).count():
             break
-        jump = placed.select(F.col("edge").alias("at"), F.col("at").alias("to"), F.col("steps").alias("more"), F.col("done").alias("ends"))
-        settled = placed.filter("done")
-        moved = placed.filter("not done").join(jump, "at").select("edge", "src", "dst", "mult", F.col("to").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done"))
-        after = scratch.keep(settled.unionByName(moved), "pointers")
+        jump = placed.select(F.col("last").alias("at"), F.col("at").alias("to"), F.col("steps").alias("more"), F.col("done").alias("ends"))
+        moved = placed.filter("not done").join(jump, "at").select("last", F.col("to").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done"))
+        after = scratch.keep(placed.filter("done").unionByName(moved), "pointers")
         scratch.drop(placed)
         placed = after
-    runs = placed.filter(F.col("done") & (F.col("steps") <= longest)).groupBy(F.col("at").alias("head")).agg(
-        F.array_sort(F.collect_list(F.struct("steps", "edge", "src", "dst"))).alias("run"), F.min("mult").alias("min_mult")
-    )
-    runs = runs.filter(F.size("run") <= longest).select(
-        F.monotonically_increasing_id().alias("id"), "head", code(F.col("run")[0]["src"], k).alias("src"), code(F.element_at("run", -1)["dst"], k).alias("dst"),
-        F.transform("run", lambda x: x["edge"]).alias("nodes"), F.size("run").alias("n"), "min_mult",
+    ended = placed.filter(F.col("done") & (F.col("steps") <= longest)).join(parts, "last").groupBy("at")
+    runs = ended.agg(F.array_sort(F.collect_list(F.struct("steps", "first", "last", "tail", "mults"))).alias("run"), F.sum("n").cast("int").alias("n"), F.min("min_mult").alias("min_mult"))
+    first, last = F.col("run")[0]["first"], F.element_at("run", -1)["last"]
+    ends = (F.shiftright(first, 2), last.bitwiseAND((1 << 2 * k) - 1)) if is_coded(edges) else (F.substring(first, 1, k), F.substring(last, 2, k))
+    runs = runs.filter(F.col("n") <= longest).select(
+        first.alias("id"), ends[0].alias("src"), ends[1].alias("dst"), F.array_join(F.transform("run", lambda x: x["tail"]), "").alias("tail"),
+        F.flatten(F.transform("run", lambda x: x["mults"])).alias("mults"), "n", "min_mult",
     )
     out = scratch.keep(runs, "unitigs")
-    scratch.drop(placed)
+    for table in (placed, parts):
+        scratch.drop(table)
+    release(edges.sparkSession)
     return out
 
 
@@ -89,16 +86,18 @@ def _ways_back(steps: DataFrame, begun: DataFrame, limit: int, max_ratio: int |
 
 
 def _begun(parts: DataFrame, starts: DataFrame) -> DataFrame:
-    return starts.select(F.col("edge").alias("head"), "mult").join(parts, "head").select(F.col("id").alias("start"), "head", "mult", F.col("src").alias("home"), "dst", "n", "min_mult")
+    return starts.select(F.col("edge").alias("id"), "mult").join(parts, "id").select(F.col("id").alias("start"), "mult", F.col("src").alias("home"), "dst", "n", "min_mult")
 
 
 def reachability(edges: DataFrame, starts: DataFrame, limit: int, k: int, scratch: Scratch | None = None) -> DataFrame:
     """(edge, closed_walk): the least number of edges of a closed walk through each start, where it is 2 to `limit`."""
-    scratch = scratch or Scratch(edges.sparkSession)
-    parts = unitigs(edges, starts, limit, k, scratch).drop("nodes")
+    scratch, given = scratch or Scratch(edges.sparkSession), edges
+    edges, starts = coded(edges, k), coded(starts, k)
+    parts = unitigs(edges, starts, limit, k, scratch).drop("tail", "mults")
     begun = scratch.keep(_begun(parts, starts), "begun")
     back = _ways_back(parts, begun, limit, None, scratch).withColumnRenamed("at", "dst")
-    closed = begun.join(back, ["start", "dst"]).select(F.col("head").alias("edge"), (F.col("n") + F.col("left")).alias("closed_walk"))
+    closed = begun.join(back, ["start", "dst"]).select(F.col("start").alias("edge"), (F.col("n") + F.col("left")).alias("closed_walk"))
+    closed = closed.withColumn("edge", letters(F.col("edge"), k + 1)) if is_coded(edges) and not is_coded(given) else closed
     return closed.filter(f"closed_walk between 2 and {limit}")
 
 
@@ -112,9 +111,22 @@ def bounded_cycles(edges: DataFrame, starts: DataFrame, params: Params = Params(
     truncated.
     """
     scratch = scratch or Scratch(edges.sparkSession)
+    paths, parts, given_up = closed_paths(edges, starts, params, scratch)
+    out = scratch.keep(walks(paths, parts, params.k), "cycles")
+    for table in (paths, parts):
+        scratch.drop(table)
+    return with_nodes(out, params.k), given_up
+
+
+def closed_paths(edges: DataFrame, starts: DataFrame, params: Params, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """bounded_cycles as paths(start, mult, nodes) of unitigs' ids, the unitigs, and truncated(start).
+
+    Two cycles share an edge if their paths share a unitig, and a start is the id of its unitig; so greedy may have the paths.
+    """
+    edges, starts = coded(edges, params.k), coded(starts, params.k)
     parts = unitigs(edges, starts, params.max_cycle, params.k, scratch)
     begun = scratch.keep(_begun(parts, starts).filter(F.expr("mult div min_mult") <= params.max_ratio), "begun")
-    back = _ways_back(parts.drop("nodes"), begun, params.max_cycle, params.max_ratio, scratch)
+    back = _ways_back(parts, begun, params.max_cycle, params.max_ratio, scratch)
     way = back.withColumnRenamed("at", "dst")
     front = begun.select("start", "mult", F.array("start").alias("path"), F.col("n").alias("size"), "dst")
     front = scratch.keep(front.join(way, ["start", "dst"]).filter(F.col("size") + F.col("left") <= params.max_cycle), "front")
@@ -137,15 +149,30 @@ def bounded_cycles(edges: DataFrame, starts: DataFrame, params: Params = Params(
         here = table.filter((F.col("left") == 0) & (F.col("size") >= params.min_cycle)).select("start", "mult", "path")
         found = here if found is None else found.unionByName(here)
     found = front.select("start", "mult", "path") if found is None else found
-    placed = found.select("path", "mult", F.posexplode("path").alias("at", "id")).join(parts.select("id", "nodes"), "id")
-    spelled = placed.groupBy("path", "mult").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "nodes"))), lambda x: x["nodes"])).alias("nodes"))
-    out = scratch.keep(spelled.select(F.col("nodes")[0].alias("start"), "mult", "nodes"), "cycles")
-    names = begun.select("start", "head")
-    given_up = names.limit(0).select(F.col("head").alias("start")) if truncated is None else truncated.distinct().join(names, "start").select(F.col("head").alias("start"))
-    given_up = scratch.keep(given_up, "truncated")
-    for table in (*closed, back, parts, begun):
+    out = scratch.keep(found.withColumnRenamed("path", "nodes"), "paths")
+    given_up = begun.select("start").limit(0) if truncated is None else truncated.distinct()
+    given_up = scratch.keep(given_up.select(_name(given_up, "start", params.k).alias("start")), "truncated")
+    for table in (*closed, back, begun):
         scratch.drop(table)
-    return out, given_up
+    return out, parts, given_up
+
+
+def _name(rows: DataFrame, edge: str, k: int):
+    return letters(F.col(edge), k + 1) if rows.schema[edge].dataType.typeName() == "long" else F.col(edge)
+
+
+def walks(paths: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """walks(start, mult, seq, mults): the letters that each path of unitigs walks over and the multiplicities of its edges."""
+    placed = paths.select("nodes", "mult", F.posexplode("nodes").alias("at", "id")).join(parts.select("id", "tail", "mults"), "id")
+    steps = placed.groupBy("nodes", "mult").agg(F.array_sort(F.collect_list(F.struct("at", "tail", "mults"))).alias("steps"))
+    start = steps.withColumn("start", F.col("nodes")[0])
+    seq = F.concat(F.substring(_name(start, "start", k), 1, k), F.array_join(F.transform("steps", lambda x: x["tail"]), ""))
+    return start.select(_name(start, "start", k).alias("start"), "mult", seq.alias("seq"), F.flatten(F.transform("steps", lambda x: x["mults"])).alias("mults"))
+
+
+def with_nodes(found: DataFrame, k: int) -> DataFrame:
+    """Walks as cycles(start, mult, nodes, seq, mults); seq is what stands for the nodes where that is shorter."""
+    return found.select("start", "mult", windows(F.col("seq"), k + 1).alias("nodes"), "seq", "mults")
 
 
 def under_cap(cycles: DataFrame, cap: int) -> DataFrame:

@@ -32,8 +32,8 @@ class Run:
 
 
 def search_graph(reads: DataFrame, params: Params, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The edges that are searched and the start edges, both written once."""
-    edges = scratch.keep(kmers.drop_rare(kmers.build_graph(reads, params), params.drop_mult), "edges")
+    """The edges that are searched and the start edges, both written once, and in numbers where k allows."""
+    edges = kmers.keep_graph(reads, params, scratch, params.drop_mult)
     return edges, scratch.keep(cycles.candidates(edges, params), "starts")
 
 
@@ -41,6 +41,11 @@ def find_arrays(reads: DataFrame, params: Params = Params()) -> Run:
     """reads(seq, ...) to arrays."""
     scratch = Scratch(reads.sparkSession)
     edges, starts = search_graph(reads, params, scratch)
-    found, truncated = cycles.bounded_cycles(edges, starts, params, scratch)
-    kept = scratch.keep(cycles.greedy(found, params, scratch), "kept")
+    paths, parts, truncated = cycles.closed_paths(edges, starts, params, scratch)
+    kept = scratch.keep(cycles.walks(cycles.greedy(paths, params, scratch), parts, params.k), "kept")
+    for table in (paths, parts):
+        scratch.drop(table)
+    kept = cycles.with_nodes(kept, params.k)
+    if kmers.is_coded(edges):
+        edges, starts = kmers.spelled(edges, params.k), kmers.spelled(starts, params.k, "indegree", "bucket")
     return Run(edges, starts, kept, arrays.call_arrays(kept, params), truncated)

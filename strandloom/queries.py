@@ -65,8 +65,7 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _walked(found: DataFrame) -> DataFrame:
     """Cycles as the letters that they walk over."""
-    last = F.substring(F.element_at("nodes", -1), K + 1, 1)
-    return found.select("start", "mult", F.size("nodes").cast("long").alias("size"), F.concat(S.spell(F.col("nodes"), K), last).alias("seq"))
+    return found.select("start", "mult", F.size("mults").cast("long").alias("size"), "seq")
 
 
 def q_revcomp(spark, sf_dir):
@@ -104,7 +103,8 @@ def q_tip_reduction(spark, sf_dir):
 
 def q_reachability(spark, sf_dir):
     edges, starts, scratch = _searched(spark, sf_dir)
-    return cycles.reachability(edges, starts, ONE_STRAND.max_cycle, K, scratch).select("edge", F.col("closed_walk").cast("long").alias("closed_walk"))
+    found = _named(cycles.reachability(edges, starts, ONE_STRAND.max_cycle, K, scratch), "edge")
+    return found.select("edge", F.col("closed_walk").cast("long").alias("closed_walk"))
 
 
 def q_start_buckets(spark, sf_dir):
@@ -151,9 +151,8 @@ def q_run_metrics(spark, sf_dir):
 
 
 def q_path_report(spark, sf_dir):
-    edges, starts, scratch = _searched(spark, sf_dir)
-    kept = cycles.greedy(cycles.bounded_cycles(edges, starts, ONE_STRAND, scratch)[0], ONE_STRAND, scratch)
-    return sinks.path_report(kept, edges, K)
+    run = find_arrays(planted_reads(spark, sf_dir), ONE_STRAND)
+    return sinks.path_report(run.cycles, run.edges, K)
 
 
 def q_rotate_left(spark, sf_dir):
@@ -307,7 +306,7 @@ QUERIES: dict[str, Query] = {
     "split_spacers": q_split_spacers,
     "arrays": q_arrays,
     "run_metrics": q_run_metrics,
-    "cycle_dump": lambda s, d: sinks.cycle_dump(_kept(s, d)),
+    "cycle_dump": lambda s, d: sinks.cycle_dump(_kept(s, d), K),
     "path_report": q_path_report,
     "rotate_left": q_rotate_left,
     "spaced_substrings": q_spaced_substrings,
