@@ -46,3 +46,10 @@ def test_degrees_are_not_broadcast(spark):
     assert "Broadcast" not in plan(graph.degrees(edges))
     for frame in (graph.tips(edges), graph.without_predecessor(edges)):
         assert "Broadcast" not in plan(frame)
+
+
+@pytest.mark.parametrize("least", [1, 20])
+@pytest.mark.parametrize("neighbours", [graph.successors, graph.predecessors])
+def test_neighbours_are_not_broadcast(spark, neighbours, least):
+    edges = kmers.build_graph(reads(spark, ["ACGTACGGTACCAGT" * 4]), Params(k=4))
+    assert "Broadcast" not in plan(neighbours(edges, least))
