@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom import functions as S
-from strandloom.operators import graph, kmers
+from strandloom.operators import cycles, graph, kmers, runs
 from strandloom.params import Params
 from strandloom.scratch import Scratch
 from tests import brute
@@ -53,3 +53,31 @@ def test_degrees_are_not_broadcast(spark):
 def test_neighbours_are_not_broadcast(spark, neighbours, least):
     edges = kmers.build_graph(reads(spark, ["ACGTACGGTACCAGT" * 4]), Params(k=4))
     assert "Broadcast" not in plan(neighbours(edges, least))
+
+
+def test_pieces_hold_each_edge_once():
+    """One place that has all nodes joins whole runs; a start in the middle of one begins a piece."""
+    import numpy as np
+
+    number = lambda s: int(s.translate(str.maketrans("ACGT", "0123")), 4)
+    mults = {"ACGTT": 5, "CGTTA": 3, "GTTAC": 4, "TTACC": 6, "TTACG": 2}
+    edge = np.array([*map(number, mults), number("GTTAC")], np.int64)
+    got = runs.joined(edge, np.array([*mults.values(), 0], np.int64), np.array([3] * 5 + [4]), 4).to_pylist()
+    assert sorted((r["first"], r["last"], r["n"], r["tail"], r["min_mult"]) for r in got) == sorted(
+        (number(a), number(b), len(t), t, m) for a, b, t, m in [("ACGTT", "CGTTA", "TA", 3), ("GTTAC", "GTTAC", "C", 4), ("TTACC", "TTACC", "C", 6), ("TTACG", "TTACG", "G", 2)]
+    )
+    assert {r["first"]: r["previous"] for r in got}[number("GTTAC")] is None
+
+
+def test_cycles_of_edges_too_long_for_numbers(spark):
+    rng = random.Random(4)
+    body = "".join(rng.choice("ACGT") for _ in range(45))
+    one = body + body[:33]
+    mults = brute.edges([one] * 30 + ["G" * 9 + body[:34], "T" * 9 + body[:34]] * 3, 31)
+    rows = [(e, e[:-1], e[1:], m) for e, m in mults.items() if m > 1]
+    edges = spark.createDataFrame(rows, "edge string, src string, dst string, mult long")
+    p = Params(k=31)
+    starts = cycles.candidates(edges, p)
+    names = {r.edge for r in starts.collect()}
+    got = {tuple(r.nodes) for r in cycles.bounded_cycles(edges, starts, p)[0].collect()}
+    assert got == {c for s in names for c in brute.cycles({e: m for e, _, _, m in rows}, s, 31, 28, 77, 500)} and got
