@@ -41,8 +41,6 @@ _GENERATOR = 0b101011100011
 #: Runs of equal keys up to this long are compared pair by pair; longer ones by a search that leaves each linked one out of later steps.
 _SHORT = 6
 
-_SPREAD = np.array([[sum(((b >> (4 * half + k)) & 1) << (16 * k) for k in range(4)) for b in range(256)] for half in range(2)], np.uint64)
-
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     """The fingerprint of each text: bit b is 1 if set in over half of its shingles' hashes; 0 for a text without words."""
@@ -61,22 +59,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndar
     tail = np.minimum(head + shingle, np.repeat(first[1:], count)) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begin[head].tolist(), stop[tail].tolist(), strict=True)], np.uint64)
-    out = np.zeros(len(n_words), np.uint64)
-    if not len(hashes):
-        return out
-    # sums of at most 2^16 - 1 hashes fit the 16-bit lanes
-    cuts = [np.arange(a, b, 65535) for a, b in zip(of[:-1], of[1:], strict=True) if b > a]
-    owner = np.repeat(np.flatnonzero(count), [len(c) for c in cuts])
-    cuts = np.concatenate(cuts)
-    for byte in range(8):
-        value = (hashes >> np.uint64(8 * byte)).astype(np.uint8)
-        for half in range(2):
-            lanes = np.add.reduceat(_SPREAD[half][value], cuts)
-            for k in range(4):
-                ones = np.zeros(len(out), np.int64)
-                np.add.at(ones, owner, ((lanes >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64))
-                out |= (2 * ones > count).astype(np.uint64) << np.uint64(8 * byte + 4 * half + k)
-    return out
+    return K.majority_bits(hashes, of)
 
 
 def _syndrome(vector: int) -> int:
@@ -214,6 +197,18 @@ def _links(radius: int):
     return run
 
 
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """links(a, b) that connect what differs in at most `radius` bits; fps: (fp), distinct.
+
+    A key shared by many fingerprints gives a forest of links, not all pairs.
+    """
+    # each fingerprint becomes some ninety keys, so the small table of fingerprints is kept in as many parts as the keys need
+    parts = shuffle_partitions(fps.sparkSession)
+    keyed = fps.repartition(parts, "fp").mapInArrow(_key_rows, "key long, fp long")
+    runs = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp")
+    return runs.mapInArrow(_links(radius), "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS
 ) -> DataFrame:
@@ -233,11 +228,7 @@ def near_duplicates(
     scratch = Scratch(spark)
     rows = scratch.keep(_fingerprint_rows(docs, id_col, text_col, shingle), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("_id").alias("first"))
-    # each fingerprint becomes some ninety keys, so the small table of fingerprints is kept in as many parts as the keys need
-    parts = shuffle_partitions(spark)
-    keyed = classes.select("fp").repartition(parts, "fp").mapInArrow(_key_rows, "key long, fp long")
-    runs = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp")
-    links = runs.mapInArrow(_links(radius), "a long, b long").distinct()
+    links = fingerprint_links(classes.select("fp"), radius)
     found = connected_components(links, "a", "b", scratch)
     placed = classes.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -250,10 +241,12 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one row of each component: that of the smallest id, and of those the least text.
 
-    Texts link where the Jaccard similarity of their sets of word shingles is `similarity` or more (see shingles.py);
-    texts without words are alike. Rows without an id cannot be told from each other: all stay, and they link no others.
+    Fingerprints of the texts' sets of word shingles are searched for pairs within RADIUS bits, as in near_duplicates, and
+    these pairs' sets are compared: texts link at a Jaccard similarity of `similarity` or more. Four bits find few pairs
+    below 0.95, so MinHash bands name more between what SimHash has left apart (see shingles.py). Texts without words are
+    alike. Rows without an id cannot be told from each other: all stay, and they link no others.
     """
-    rows, found = shingles.alike(docs, id_col, text_col, shingle, similarity, Scratch(docs.sparkSession))
+    rows, found = shingles.alike(docs, id_col, text_col, shingle, similarity, Scratch(docs.sparkSession), fingerprint_links)
     placed = rows.groupBy("set").agg(F.min("_id").alias("_id")).join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = placed.groupBy("component").agg(F.min("_id").alias("_id"))
     # rows of one id may have unlike texts, so a row is known by its id and its text's hash
