@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import letters, log2_bucket, windows
 from strandloom.operators.kmers import coded, is_coded
 from strandloom.operators.runs import pieces
+from strandloom.operators.turns import choose
 from strandloom.params import Params
 from strandloom.scratch import Scratch, release
 
@@ -118,13 +119,36 @@ def bounded_cycles(edges: DataFrame, starts: DataFrame, params: Params = Params(
     return with_nodes(out, params.k), given_up
 
 
-def closed_paths(edges: DataFrame, starts: DataFrame, params: Params, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def kept_walks(edges: DataFrame, starts: DataFrame, params: Params, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """walks(start, mult, seq, mults) of the cycles that are kept when starts take turns as in greedy, written, and truncated(start).
+
+    Components of unitigs that fit a task are searched there (turns.py); cycles of the others are made and chosen by joins, and
+    so are all of them where open paths are limited or edges have no numbers.
+    """
+    edges, starts = coded(edges, params.k), coded(starts, params.k)
+    rest, kept = unitigs(edges, starts, params.max_cycle, params.k, scratch), None
+    if params.max_frontier is None and is_coded(edges):
+        every = rest
+        kept, rest = choose(every, starts, params, scratch)
+        scratch.drop(every)
+        if not rest.limit(1).count():
+            given_up = starts.select(_name(starts, "edge", params.k).alias("start")).limit(0)
+            return kept, given_up
+    paths, rest, given_up = closed_paths(edges, starts, params, scratch, rest)
+    others = scratch.keep(walks(greedy(paths, params, scratch), rest, params.k), "kept")
+    for table in (paths, rest):
+        scratch.drop(table)
+    return others if kept is None else kept.unionByName(others), given_up
+
+
+def closed_paths(edges: DataFrame, starts: DataFrame, params: Params, scratch: Scratch, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """bounded_cycles as paths(start, mult, nodes) of unitigs' ids, the unitigs, and truncated(start).
 
     Two cycles share an edge if their paths share a unitig, and a start is the id of its unitig; so greedy may have the paths.
+    parts: the unitigs, written, if they are there already, or those of some components.
     """
     edges, starts = coded(edges, params.k), coded(starts, params.k)
-    parts = unitigs(edges, starts, params.max_cycle, params.k, scratch)
+    parts = parts or unitigs(edges, starts, params.max_cycle, params.k, scratch)
     begun = scratch.keep(_begun(parts, starts).filter(F.expr("mult div min_mult") <= params.max_ratio), "begun")
     back = _ways_back(parts, begun, params.max_cycle, params.max_ratio, scratch)
     way = back.withColumnRenamed("at", "dst")

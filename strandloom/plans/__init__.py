@@ -41,10 +41,7 @@ def find_arrays(reads: DataFrame, params: Params = Params()) -> Run:
     """reads(seq, ...) to arrays."""
     scratch = Scratch(reads.sparkSession)
     edges, starts = search_graph(reads, params, scratch)
-    paths, parts, truncated = cycles.closed_paths(edges, starts, params, scratch)
-    kept = scratch.keep(cycles.walks(cycles.greedy(paths, params, scratch), parts, params.k), "kept")
-    for table in (paths, parts):
-        scratch.drop(table)
+    kept, truncated = cycles.kept_walks(edges, starts, params, scratch)
     kept = cycles.with_nodes(kept, params.k)
     if kmers.is_coded(edges):
         edges, starts = kmers.spelled(edges, params.k), kmers.spelled(starts, params.k, "indegree", "bucket")
