@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def settled(frame: DataFrame, *names: str) -> DataFrame:
+    """The frame, with the columns of these names computed once a row.
+
+    Spark copies a column's expression into each of its uses, and inside a lambda function computes it again for each
+    element. It does not do so across a generator, here one of one row.
+    """
+    held = F.inline(F.array(F.struct(*names)))
+    return frame.select(*(c for c in frame.columns if c not in names), held).select(*frame.columns)
+
+
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGT", "TGCA"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions import spell, split_on, windows
+from strandloom.functions import settled, spell, split_on, windows
 from strandloom.params import Params
 
 
@@ -15,10 +15,10 @@ def cycle_groups(cycles: DataFrame, params: Params = Params()) -> DataFrame:
         # the walks of one start begin alike, so they are in the order of their nodes, and far shorter to gather
         walked = cycles.select("start", F.expr("left(seq, length(seq) - 1)").alias("walk")).groupBy("start")
         groups = walked.agg(F.array_sort(F.collect_list("walk")).alias("walks"), F.count("*").cast("int").alias("n_cycles")).filter(F.col("n_cycles") >= params.min_cycles)
-        return groups.select("start", F.transform("walks", lambda w: windows(w, params.k + 1)).alias("cycles"), "n_cycles")
+        return settled(groups.select("start", F.transform("walks", lambda w: windows(w, params.k + 1)).alias("cycles"), "n_cycles"), "cycles")
     cut = cycles.select("start", F.slice("nodes", F.lit(1), F.size("nodes") - 1).alias("nodes"))
     groups = cut.groupBy("start").agg(F.array_sort(F.collect_list("nodes")).alias("cycles"), F.count("*").cast("int").alias("n_cycles"))
-    return groups.filter(F.col("n_cycles") >= params.min_cycles)
+    return settled(groups.filter(F.col("n_cycles") >= params.min_cycles), "cycles")
 
 
 def node_support(cycles: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def repeat_nodes(groups: DataFrame, params: Params = Params()) -> DataFrame:
     """groups with n_repeat, the nodes that enough cycles share, 1 to params.max_repeat_nodes of them."""
     if params.support == 1.0:
         shared = F.size(F.aggregate("cycles", F.array_distinct(F.col("cycles")[0]), lambda acc, c: F.array_intersect(acc, c)))
-        out = groups.withColumn("n_repeat", shared)
+        out = settled(groups.withColumn("n_repeat", shared), "n_repeat")
     else:
         nodes = groups.select("start", "n_cycles", F.explode("cycles").alias("nodes")).select("start", "n_cycles", F.explode(F.array_distinct("nodes")).alias("node"))
         counts = nodes.groupBy("start", "n_cycles", "node").agg(F.count("*").alias("n")).filter(F.col("n") >= F.ceil(F.col("n_cycles") * params.support))
@@ -40,16 +40,16 @@ def repeat_nodes(groups: DataFrame, params: Params = Params()) -> DataFrame:
 
 def repeat_path(groups: DataFrame) -> DataFrame:
     """groups with repeat_nodes: the first n_repeat nodes of the longest cycle, the first in order of those."""
-    longest = F.array_max(F.transform("cycles", lambda c: F.size(c)))
-    first = F.filter("cycles", lambda c: F.size(c) == longest)[0]
-    return groups.withColumn("repeat_nodes", F.slice(first, F.lit(1), F.col("n_repeat")))
+    sizes = F.transform("cycles", lambda c: F.size(c))
+    first = F.element_at("cycles", F.array_position(sizes, F.array_max(sizes)).cast("int"))
+    return settled(groups.withColumn("repeat_nodes", F.slice(first, F.lit(1), F.col("n_repeat"))), "repeat_nodes")
 
 
 def spacer_nodes(groups: DataFrame, params: Params = Params()) -> DataFrame:
     """groups with spacer_nodes: what follows the repeat in each cycle that is long enough; groups with too few are out."""
     long = F.filter("cycles", lambda c: F.size(c) - F.col("n_repeat") >= params.min_spacer_nodes)
     cut = F.transform(long, lambda c: F.slice(c, F.col("n_repeat") + 1, F.size(c)))
-    return groups.withColumn("spacer_nodes", cut).filter(F.size("spacer_nodes") >= params.min_spacers)
+    return settled(groups.withColumn("spacer_nodes", cut), "spacer_nodes").filter(F.size("spacer_nodes") >= params.min_spacers)
 
 
 def periods(groups: DataFrame, params: Params = Params()) -> DataFrame:
@@ -57,18 +57,18 @@ def periods(groups: DataFrame, params: Params = Params()) -> DataFrame:
     spelled = F.transform("cycles", lambda c: spell(c, params.k))
     trimmed = F.array_sort(F.transform(spelled, lambda s: F.substr(s, F.lit(1), F.length(s) - params.trim)))
     out = groups.withColumn("repeat", spell(F.col("repeat_nodes"), params.k)).withColumn("periods", trimmed)
-    return out.withColumn("array_seq", F.array_join("periods", ""))
+    return settled(settled(out, "repeat", "periods").withColumn("array_seq", F.array_join("periods", "")), "array_seq")
 
 
 def split_spacers(groups: DataFrame) -> DataFrame:
     """groups with parts: array_seq split on the repeat."""
-    return groups.withColumn("parts", split_on(F.col("array_seq"), F.col("repeat")))
+    return settled(groups.withColumn("parts", split_on(F.col("array_seq"), F.col("repeat"))), "parts")
 
 
 def filter_spacers(groups: DataFrame, params: Params = Params()) -> DataFrame:
     """groups with spacers, the parts of a fitting length, and n_spacers; groups with too few are out."""
     kept = F.filter("parts", lambda s: F.length(s).between(params.min_spacer_letters, params.max_spacer_letters))
-    return groups.withColumn("spacers", kept).withColumn("n_spacers", F.size("spacers")).filter(F.col("n_spacers") >= params.min_spacers)
+    return settled(groups.withColumn("spacers", kept), "spacers").withColumn("n_spacers", F.size("spacers")).filter(F.col("n_spacers") >= params.min_spacers)
 
 
 def distinct_repeats(groups: DataFrame) -> DataFrame:
