@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.graph import degrees
-from strandloom.scratch import shuffle_partitions
+from strandloom.operators import graph
+from strandloom.scratch import Scratch, release, shuffle_partitions
 
 #: Letters of a word; edges that a place has about; bins that are dealt to each place.
 WORD, PLACE, BINS = 11, 400_000, 16
@@ -58,8 +58,21 @@ def _dealt(k: int, bins: int):
     return run
 
 
-def joined(edge: np.ndarray, mult: np.ndarray, kind: np.ndarray, k: int) -> pa.RecordBatch:
-    """PIECES of one place: kind says if it has the edge's source, its destination or both, or marks a start edge."""
+def _ring_heads(previous: np.ndarray) -> np.ndarray:
+    """The least place of each ring of pointers; -1 ends a run."""
+    n = len(previous)
+    to = np.where(previous >= 0, previous, np.arange(n))
+    least = np.arange(n)
+    for _ in range(n.bit_length()):
+        least, to = np.minimum(least, least[to]), to[to]
+    return np.flatnonzero((previous[to] >= 0) & (least == np.arange(n)))
+
+
+def joined(edge: np.ndarray, mult: np.ndarray, kind: np.ndarray, k: int, rings: bool = False) -> pa.RecordBatch:
+    """PIECES of one place: kind says if it has the edge's source, its destination or both, or marks a start edge.
+
+    rings: closed runs without a branch are pieces, too, cut open at their least edge.
+    """
     mask = (1 << 2 * k) - 1
     starts = edge[kind == _START]
     mine = np.flatnonzero(kind & _SRC)
@@ -76,6 +89,9 @@ def joined(edge: np.ndarray, mult: np.ndarray, kind: np.ndarray, k: int) -> pa.R
     before = np.where(head, -1, np.append(into, -1)[np.minimum(low, len(into))])
     at = np.minimum(np.searchsorted(own, before), max(0, len(own) - 1))
     previous = np.where(~head & (own[at] == before), at, -1)
+    if rings:
+        cut = _ring_heads(previous)
+        previous[cut], head[cut] = -1, True
     to = np.where(previous >= 0, previous, np.arange(len(own)))
     steps = (previous >= 0).astype(np.int64)
     for _ in range(len(own).bit_length()):
@@ -98,28 +114,57 @@ def joined(edge: np.ndarray, mult: np.ndarray, kind: np.ndarray, k: int) -> pa.R
     return pa.RecordBatch.from_arrays(columns, names=["last", "first", "previous", "n", "min_mult", "tail", "mults"])
 
 
-def _joined(k: int):
+def _joined(k: int, rings: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [[batch.column(c).to_numpy() for c in ("edge", "mult", "kind")] for batch in batches if batch.num_rows]
         if rows:
-            out = joined(*map(np.concatenate, zip(*rows, strict=True)), k)
+            out = joined(*map(np.concatenate, zip(*rows, strict=True)), k, rings)
             for at in range(0, out.num_rows, 1 << 14):
                 yield out.slice(at, 1 << 14)
 
     return run
 
 
-def pieces(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
+def pieces(edges: DataFrame, starts: DataFrame, k: int, rings: bool = False) -> DataFrame:
     """(last, first, previous, n, min_mult, tail, mults): runs of n edges from `first` to `last`, each edge in one run.
 
     previous: the edge that the run goes on from, null if it is the head of an unbranched run; each start is one. tail has
-    the last letter of each edge and mults its multiplicity. Edges of closed runs without a branch may be missing.
+    the last letter of each edge and mults its multiplicity. Edges of closed runs without a branch may be missing, but for `rings`.
     """
     if edges.schema["edge"].dataType.typeName() != "long":
         return _single(edges, starts, k)
     places = max(shuffle_partitions(edges.sparkSession), edges.count() // PLACE + 1)
     rows = edges.select("edge", "mult", F.lit(0).alias("kind")).unionByName(starts.select("edge", F.lit(0).cast("long").alias("mult"), F.lit(_START).alias("kind")))
-    return rows.mapInArrow(_dealt(k, places * BINS), "bin int, edge long, mult long, kind int").repartition(places, "bin").mapInArrow(_joined(k), PIECES)
+    return rows.mapInArrow(_dealt(k, places * BINS), "bin int, edge long, mult long, kind int").repartition(places, "bin").mapInArrow(_joined(k, rings), PIECES)
+
+
+def _edges(k: int):
+    mask = (1 << 2 * k + 2) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digits = np.zeros(256, np.int64)
+        digits[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, at = batch.column("n").to_numpy().astype(np.int64), batch.column("first").to_numpy()
+            letter = digits[np.frombuffer("".join(batch.column("tail").to_pylist()).encode(), np.uint8)]
+            begin = np.concatenate([[0], np.cumsum(n)])
+            out, going, step = np.empty(begin[-1], np.int64), np.arange(len(n)), 0
+            while len(going):
+                out[begin[going] + step] = at
+                step += 1
+                on = n[going] > step
+                going, at = going[on], at[on]
+                at = (at << 2 | letter[begin[going] + step]) & mask
+            yield pa.RecordBatch.from_arrays([pa.array(out), batch.column("mults").flatten()], names=["edge", "mult"])
+
+    return run
+
+
+def edges_of(parts: DataFrame, k: int) -> DataFrame:
+    """(edge, mult) of all edges of coded pieces (first, n, tail, mults)."""
+    return parts.select("first", "n", "tail", "mults").mapInArrow(_edges(k), "edge long, mult long")
 
 
 def _single(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
@@ -127,7 +172,7 @@ def _single(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     leaving = edges.groupBy("src").agg(F.count("*").alias("n_leaving"))
     before = edges.select(F.col("edge").alias("entering"), F.col("dst").alias("src"))
     forced = starts.select("edge", F.lit(True).alias("is_start"))
-    plain = degrees(edges).join(leaving.hint("merge"), "src").join(forced, "edge", "left").withColumn(
+    plain = graph.degrees(edges).join(leaving.hint("merge"), "src").join(forced, "edge", "left").withColumn(
         "is_head", (F.col("indegree") != 1) | (F.col("n_leaving") != 1) | F.coalesce("is_start", F.lit(False)) | (F.col("src") == F.col("dst"))
     )
     others = plain.filter("not is_head").join(before.hint("merge"), "src")
@@ -136,3 +181,15 @@ def _single(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
         F.col("edge").alias("last"), F.col("edge").alias("first"), F.col("entering").alias("previous"), F.lit(1).alias("n"), F.col("mult").alias("min_mult"),
         F.substring("edge", k + 1, 1).alias("tail"), F.array("mult").alias("mults"),
     )
+
+
+def reduce_tips(edges: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """graph.reduce_tips; of a coded edge table by pieces, which stay or go as a whole, with the node that they end in."""
+    if edges.schema["edge"].dataType.typeName() != "long":
+        return graph.reduce_tips(edges, k, scratch)
+    mask = (1 << 2 * k) - 1
+    parts = scratch.keep(pieces(edges, edges.select("edge").limit(0), k, True).withColumn("dst", F.col("last").bitwiseAND(mask)), "pieces")
+    release(edges.sparkSession)
+    left = graph.endless(parts.select(F.shiftright("first", 2).alias("src"), "dst"), scratch)
+    found = edges_of(parts.join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"), k)
+    return found.select("edge", F.shiftright("edge", 2).alias("src"), F.col("edge").bitwiseAND(mask).alias("dst"), "mult")

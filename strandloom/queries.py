@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom import functions as S
-from strandloom.operators import arrays, cycles, graph, kmers
+from strandloom.operators import arrays, cycles, graph, kmers, runs
 from strandloom.params import Params
 from strandloom.plans import find_arrays, search_graph
 from strandloom.plans.fixtures import lettered_documents, planted_arrays, planted_reads
@@ -26,8 +26,10 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.build_graph(planted_reads(spark, sf_dir), ONE_STRAND)
 
 
-def _document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.build_graph(lettered_documents(spark, sf_dir), ONE_STRAND)
+def _document_edges(spark: SparkSession, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    """The edges of the documents; written and in numbers, if there is a place to write to."""
+    docs = lettered_documents(spark, sf_dir)
+    return kmers.keep_graph(docs, ONE_STRAND, scratch) if scratch else kmers.build_graph(docs, ONE_STRAND)
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +100,9 @@ def q_invalidate(spark, sf_dir):
 
 def q_tip_reduction(spark, sf_dir):
     """To the last tip, which SQL cannot express: a recursive query deletes nothing."""
-    return graph.reduce_tips(_document_edges(spark, sf_dir), K)
+    scratch = Scratch(spark)
+    left = runs.reduce_tips(_document_edges(spark, sf_dir, scratch), K, scratch)
+    return kmers.spelled(left, K) if kmers.is_coded(left) else left
 
 
 def q_reachability(spark, sf_dir):
