@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from strandloom import functions as S
 from strandloom.operators import cycles, graph, kmers, runs
 from strandloom.params import Params
+from strandloom.plans.fixtures import planted_reads
+from strandloom.queries import QUERIES
 from strandloom.scratch import Scratch
 from tests import brute
 
@@ -55,6 +57,19 @@ def test_neighbours_are_not_broadcast(spark, neighbours, least):
     assert "Broadcast" not in plan(neighbours(edges, least))
 
 
+@pytest.mark.parametrize("least", [1, 20])
+@pytest.mark.parametrize("name", ["successors", "predecessors"])
+def test_queries_of_neighbours_broadcast_nothing_as_they_run(spark, name, least):
+    """The plan that ran, after adaptive changes to it; and all pairs are there."""
+    found = QUERIES[name if least == 1 else f"{name}_covered"](spark, "/root/testdata/sf0.001")
+    got = Counter(tuple(r) for r in found.collect())
+    assert "isFinalPlan=true" in plan(found) and "Broadcast" not in plan(found)
+    mults = brute.edges([r.seq for r in planted_reads(spark, "/root/testdata/sf0.001").collect()], 23)
+    leaving = {e + c for e in mults for c in "ACGT" if e[1:] + c in mults}
+    pairs = [(w[:-1], w[1:]) if name == "successors" else (w[1:], w[:-1]) for w in leaving]
+    assert got == Counter((a, b, mults[b]) for a, b in pairs if mults[b] >= least) and got
+
+
 def test_pieces_hold_each_edge_once():
     """One place that has all nodes joins whole runs; a start in the middle of one begins a piece."""
     import numpy as np
