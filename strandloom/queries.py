@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom import functions as S
-from strandloom.operators import arrays, cycles, graph, kmers, runs
+from strandloom.operators import arrays, cycles, graph, kmers, tips
 from strandloom.params import Params
 from strandloom.plans import find_arrays, search_graph
 from strandloom.plans.fixtures import lettered_documents, planted_arrays, planted_reads
@@ -100,9 +100,7 @@ def q_invalidate(spark, sf_dir):
 
 def q_tip_reduction(spark, sf_dir):
     """To the last tip, which SQL cannot express: a recursive query deletes nothing."""
-    scratch = Scratch(spark)
-    left = runs.reduce_tips(_document_edges(spark, sf_dir, scratch), K, scratch)
-    return kmers.spelled(left, K) if kmers.is_coded(left) else left
+    return tips.reduce_tips(_document_edges(spark, sf_dir), K, Scratch(spark))
 
 
 def q_reachability(spark, sf_dir):
